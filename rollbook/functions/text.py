@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,36 +82,51 @@ def _fold_unicode(s: pd.Series) -> pd.Series:
     def fold(t):
         if t is None:
             return None
-        t = unicodedata.normalize("NFKD", t)
-        return "".join(ch for ch in t if not unicodedata.combining(ch)).lower()
+        out = []
+        for ch in t:
+            parts = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+            out.append(parts if ch == "," else parts.replace(",", " "))
+        return "".join(out)
 
     return s.map(fold)
 
 
-def clean(c: Column) -> Column:
-    """Lower-case words of [a-z0-9], accents folded, everything else a blank.
+def fold(c: Column) -> Column:
+    """Text with accents dropped and compatibility forms spelled out.
 
     ASCII text (almost all of it) stays in the JVM; only other rows carry a value
     through the Arrow UDF, which alone can do full compatibility decomposition.
     """
     ascii_only = ~c.rlike(r"[^\x00-\x7F]")
-    lowered = F.when(ascii_only, F.lower(c)).otherwise(_fold_unicode(F.when(~ascii_only, c)))
-    return F.trim(F.regexp_replace(lowered, r"[^a-z0-9]+", " "))
-
-
-def split_name(raw: Column) -> tuple[Column, Column]:
-    """(first, last) from 'First .. Last' or 'Last, First'; one word is a last name."""
-    s = strip(F.regexp_replace(raw, NAME_SUFFIX, ""))
-    s = F.regexp_replace(s, r"(?U)^\d+\s+", "")
-    has_comma = F.contains(s, F.lit(","))
-    before = F.when(has_comma, F.substring_index(s, ",", 1)).otherwise(s)
-    after = F.when(has_comma, F.substr(s, F.instr(s, ",") + 1)).otherwise(F.lit(""))
-    head, tail = clean(before), clean(after)
-    toks = F.split(head, " ")
-    many = F.size(toks) >= 2
-    first = F.when(has_comma, tail).when(many, F.element_at(toks, 1)).otherwise(F.lit(""))
-    last = F.when(has_comma, head).when(many, F.element_at(toks, -1)).otherwise(head)
-    return first, last
+    return F.when(ascii_only, c).otherwise(_fold_unicode(F.when(~ascii_only, c)))
+
+
+def plain(c: Column) -> Column:
+    """Lower-case words of [a-z0-9]; everything else becomes a blank."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
+
+
+def clean(c: Column) -> Column:
+    return plain(fold(c))
+
+
+def with_split_name(df: DataFrame, raw: str) -> DataFrame:
+    """Append first_name and last_name read from folded text ``raw``.
+
+    'Last, First' or 'First .. Last'; a single word is a last name.
+    """
+    df = df.withColumn("_nm", strip(F.regexp_replace(F.col(raw), NAME_SUFFIX, "")))
+    df = df.withColumn("_nm", F.regexp_replace("_nm", r"(?U)^\d+\s+", ""))
+    df = df.withColumn("_cut", F.instr("_nm", ","))
+    comma = F.col("_cut") > 0
+    df = df.withColumns({
+        "_head": plain(F.when(comma, F.substr(F.col("_nm"), F.lit(1), F.col("_cut") - 1)).otherwise(F.col("_nm"))),
+        "_tail": plain(F.when(comma, F.substr(F.col("_nm"), F.col("_cut") + 1)).otherwise(""))})
+    two = F.contains(F.col("_head"), F.lit(" "))
+    return df.withColumns({
+        "first_name": F.when(comma, F.col("_tail")).when(two, F.substring_index("_head", " ", 1)).otherwise(""),
+        "last_name": F.when(comma, F.col("_head")).when(two, F.substring_index("_head", " ", -1))
+        .otherwise(F.col("_head"))}).drop("_nm", "_cut", "_head", "_tail")
 
 
 def map_words(c: Column, table: dict[str, str]) -> Column:
