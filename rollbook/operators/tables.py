@@ -66,13 +66,18 @@ def delete_by_key(current: DataFrame, keys: DataFrame, on: list[str]) -> DataFra
     return current.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def first_by(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
+    """One row a key, the one that sorts first; a partial aggregate, no sort."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*named).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
 def drop_duplicate_people(people: DataFrame, children: dict[str, DataFrame], key: list[Column],
-                          order: list, child_key: str = "worker_id") -> dict[str, DataFrame]:
+                          order: list[Column], child_key: str = "worker_id") -> dict[str, DataFrame]:
     """Keep the first person of each key and delete the child rows of the others."""
-    ranked = people.withColumn("_k", F.struct(*key)).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("_k").orderBy(*order)))
-    gone = ranked.where("_r > 1").select(child_key)
-    out = {"people": ranked.where("_r = 1").drop("_k", "_r")}
+    kept = first_by(people, key, order)
+    gone = people.join(kept.select(child_key), child_key, "left_anti")
+    out = {"people": kept}
     out.update({name: delete_by_key(df, gone, [child_key]) for name, df in children.items()})
     return out
 
