@@ -56,7 +56,7 @@ def parse_pasted_roll(texts: DataFrame, key: str = "packet_id", text: str = "vot
     are name, address, zip and two are name, address.
     """
     nonblank = lambda l: strip(l) != ""
-    lines = F.filter(F.split(strip(F.col(text)), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"), nonblank)
+    lines = F.filter(F.split(strip(F.col(text)), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), nonblank)
     df = texts.select(key, lines.alias("_lines")).where(F.size("_lines") > 0)
     cells = lambda l: F.transform(F.split(l, r"[\t,]"), strip)
     df = df.withColumn("_headed", F.lower(F.col("_lines")[0]).rlike(HEADER_WORDS))
