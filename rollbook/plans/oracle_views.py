@@ -91,6 +91,52 @@ select project_id packet_id, line_number line_no,
 from (select *, trim(split_part(raw_address,',',1)) street, trim(split_part(raw_address,',',2)) raw_city,
         case when line_number%11=0 then substr(right(raw_address,5),1,4) else right(raw_address,5) end raw_zip
       from lines) q"""),
+    "signatures": (["lines"], """
+select l.*, case when raw_name='' and raw_address='' then 'rejected' when line_number%17=0 then 'duplicate'
+    when ocr_confidence>=70 and signature_present then 'approved' when ocr_confidence>=58 then 'review' else 'rejected' end status,
+  case quality when 1 then 'approved' when 0 then 'rejected' end staff_override
+from lines l left join labels on doc_id=project_id*32+line_number"""),
+    "headers": (["signatures"], """
+select project_id, count(*) total_lines, count(*) filter (status='approved') approved, count(*) filter (status='review') review,
+  count(*) filter (status='rejected') rejected, count(*) filter (status='duplicate') duplicates,
+  count(*) filter (not signature_present and raw_name<>'') fraud_flagged_lines from signatures group by project_id"""),
+    "sheets": (["projects", "headers"], "select * from projects join headers using (project_id)"),
+    "hand_counts": (["live_events"], """
+select 'm-'||cast(event_id as varchar) project_id, worker_id, sig_count%90+1 sig_count, 'hand' notes, ts entered_at from live_events"""),
+    "entries": (["hand_counts"], """
+select project_id, worker_id, '[manual entry]' pdf_path, sig_count approved, entered_at created_at from hand_counts"""),
+    "packet_review": (["packet_lines"], """
+select *, case when voter_confidence>=72 then 'valid' when voter_confidence>=45 then 'uncertain' else 'invalid' end voter_status,
+  'entry '||cast(voter_confidence as varchar) voter_reason,
+  case when row_status='new_signature' and has_signature then 'likely_valid'
+       when not has_signature and row_status<>'blank' then 'likely_invalid' else 'needs_review' end ai_verdict,
+  case when line_no%8=0 then '["low_confidence"]' when line_no%31=0 then 'not json' when line_no%19=0 then null else '[]' end flags_json,
+  case when line_no%10=0 then '["similar_name","invalid_zip"]' else '[]' end fraud_flags,
+  case when line_no%10=0 then 50 else 0 end fraud_score,
+  case when line_no%14=0 then 'confirmed_fraud' when line_no%15=0 then 'cleared' end review_decision,
+  case when line_no%12=0 then 'rejected' end as action
+from (select *, cast((packet_id*7+line_no*13)%101 as int) voter_confidence from packet_lines) q"""),
+    "norm": (["lines"], """
+select *, concat_ws(' ', nullif(last_name,''), nullif(first_name,''), nullif(split_part(street,' ',1),''), nullif(split_part(street,' ',2),'')) search_key
+from (select *, case when contains(raw_name,',') then trim(split_part(raw_name,',',2)) when contains(raw_name,' ') then split_part(raw_name,' ',1) else '' end first_name,
+    case when contains(raw_name,',') then trim(split_part(raw_name,',',1)) when contains(raw_name,' ') then split_part(raw_name,' ',2) else raw_name end last_name,
+    split_part(raw_address,',',1) street, trim(split_part(raw_address,',',2)) city, case when raw_address='' then '' else 'ca' end state,
+    right(raw_address,5) zip_code, replace(raw_date,'-',' ') as date from lines) q"""),
+    "extraction_pairs": (["lines", "roll"], """
+select project_id, line_number, raw_name a_name, split_part(raw_address,',',1) a_address,
+  case when line_number%5=0 then '' else trim(split_part(raw_address,',',2)) end a_city, right(raw_address,5) a_zip_code,
+  case when line_number%6=0 then '' else upper(left(first_name,1))||substr(first_name,2)||' '||upper(left(last_name,1))||substr(last_name,2) end b_name,
+  case when line_number%4=0 then split_part(street_address,' ',2) else street_address end b_address,
+  list_reduce(list_transform(string_split(r.city,' '), lambda w: upper(left(w,1))||substr(w,2)), lambda x,y: x||' '||y) b_city,
+  case when line_number%3=0 then substr(r.zip_code,1,4) else r.zip_code end b_zip_code,
+  cast(trunc(ocr_confidence) as int) a_conf, cast(50+(line_number*7)%45 as int) b_conf
+from lines join roll r on voter_id=true_voter_id"""),
+    "ocr_pages": (["ocr_words"], "select doc_id, 1000 page_width, max(top+height) page_height from ocr_words group by doc_id"),
+    "page_rows": (["fingerprints", "lines"], """
+select packet_id, line_number line_no, case when raw_name='' then 'blank' else 'new_signature' end row_status,
+  upper(case when packet_id>=1000000 and line_number%3=0 then 'zz'||raw_name else raw_name end||'|'||split_part(raw_address,',',1))
+    ||'#'||substr(md5(raw_address),1,9) row_fingerprint
+from fingerprints join lines on project_id=packet_id%1000000 where line_number<=7"""),
 }
 
 
@@ -109,3 +155,44 @@ def with_ctes(query: str, *names: str, extra: dict[str, str] | None = None) -> s
     parts = [f"{n} as materialized ({CTES[n][1].strip()})" for n in order]
     parts += [f"{n} as materialized ({sql.strip()})" for n, sql in (extra or {}).items()]
     return f"with {', '.join(parts)} {query.strip()}" if parts else query.strip()
+
+
+def sorted_tokens(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({x},' '), lambda w: w<>'')),' ')"
+
+
+def may_reach(a: str, b: str, t: int) -> str:
+    return f"levenshtein({a},{b}) <= ({100 - t}*(length({a})+length({b})))//100"
+
+
+def ratio_ctes(name: str, pairs: str) -> dict[str, str]:
+    """CTEs ending in ``name``(a, b, ratio) for the distinct (a, b) of CTE ``pairs``.
+
+    Bit-parallel longest common subsequence on 64-bit integers: texts up to 62 characters.
+    """
+    return {
+        f"{name}_c": f"""select a, ch, sum(cast(1 as bigint) << cast(i as int)) m from (
+            select a, unnest(string_split(a,'')) ch, unnest(range(length(a))) i from (select distinct a from {pairs} where a<>'')) q group by a, ch""",
+        f"{name}_m": f"select a, map_from_entries(list((ch, cast(m as bigint)))) mp from {name}_c group by a",
+        name: f"""select a, b, case when length(a)+length(b)=0 then 0.0
+            else (1.0 - (length(a)+length(b)-2*lcs)/cast(length(a)+length(b) as double))*100.0 end ratio from (
+            select p.a, p.b, case when p.a='' or p.b='' then 0 else length(p.a) - bit_count(list_reduce(
+              list_prepend((cast(1 as bigint) << length(p.a))-1, list_transform(string_split(p.b,''), lambda c: coalesce(mp[c], cast(0 as bigint)))),
+              lambda v, k: ((v + (v & k)) | (v - (v & k))) & ((cast(1 as bigint) << length(p.a))-1))) end lcs
+            from (select distinct a, b from {pairs}) p left join {name}_m m on m.a=p.a) z""",
+    }
+
+
+def round_py(x: str, digits: int = 0) -> str:
+    """Half-to-even on the exact binary value, as the Spark expression does it."""
+    if digits == 0:
+        return f"round_even({x},0)"
+    s = f"{10**digits}.0::double"
+    v, p = f"({x})::double", f"(({x})::double*{s})"
+    hi = f"({v}*134217729.0::double-({v}*134217729.0::double-{v}))"
+    err = f"(({hi}*{s}-{p})+({v}-{hi})*{s})"
+    return (f"(case when {p}-floor({p})=0.5 and {err}>0 then ceil({p}) when {p}-floor({p})=0.5 and {err}<0 then floor({p}) "
+            f"else round_even({p},0) end/{s})")
+
+
+HOURS = "(epoch_us(clock_out)-epoch_us(clock_in))"

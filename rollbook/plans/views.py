@@ -215,3 +215,92 @@ class Views:
                 F.col("raw_street").alias("raw_address"), F.upper("raw_street").alias("norm_address"),
                 "raw_city", short.alias("raw_zip"), valid_zip5(short).alias("valid_zip"), "raw_date",
                 F.col("signature_present").alias("has_signature")))
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        """Sheet lines with an automatic status and, where a label exists, a staff override."""
+        n, conf = F.col("line_number"), F.col("ocr_confidence")
+        label = self.table("labels").select(
+            F.col("doc_id").alias("_doc"), F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("staff_override"))
+        src = self.lines.withColumn("_doc", F.col("project_id") * 32 + n).withColumn(
+            "status", F.when((F.col("raw_name") == "") & (F.col("raw_address") == ""), "rejected").when(n % 17 == 0, "duplicate")
+            .when((conf >= 70) & F.col("signature_present"), "approved").when(conf >= 58, "review").otherwise("rejected"))
+        return src.join(label, "_doc", "left").drop("_doc")
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        n = lambda s: F.count_if(F.col("status") == s)
+        return self.signatures.groupBy("project_id").agg(
+            F.count(F.lit(1)).alias("total_lines"), n("approved").alias("approved"), n("review").alias("review"),
+            n("rejected").alias("rejected"), n("duplicate").alias("duplicates"),
+            F.count_if(~F.col("signature_present") & (F.col("raw_name") != "")).alias("fraud_flagged_lines"))
+
+    @cached_property
+    def sheets(self) -> DataFrame:
+        return self.projects.join(self.headers, "project_id")
+
+    @cached_property
+    def hand_counts(self) -> DataFrame:
+        return self.live_events.select(
+            F.concat(F.lit("m-"), F.col("event_id").cast("string")).alias("project_id"), "worker_id",
+            (F.col("sig_count") % 90 + 1).alias("sig_count"), F.lit("hand").alias("notes"), F.col("ts").alias("entered_at"))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return self.hand_counts.select("project_id", "worker_id", F.lit("[manual entry]").alias("pdf_path"),
+                                       F.col("sig_count").alias("approved"), F.col("entered_at").alias("created_at"))
+
+    @cached_property
+    def packet_review(self) -> DataFrame:
+        """Packet rows in review: match, verdict, flags, decision and action columns."""
+        n = F.col("line_no")
+        conf = ((F.col("packet_id") * 7 + n * 13) % 101).cast("int")
+        return self.packet_lines.select(
+            "*", conf.alias("voter_confidence"),
+            F.when(conf >= 72, "valid").when(conf >= 45, "uncertain").otherwise("invalid").alias("voter_status"),
+            F.concat(F.lit("entry "), conf.cast("string")).alias("voter_reason"),
+            F.when((F.col("row_status") == "new_signature") & F.col("has_signature"), "likely_valid")
+            .when(~F.col("has_signature") & (F.col("row_status") != "blank"), "likely_invalid").otherwise("needs_review").alias("ai_verdict"),
+            F.when(n % 8 == 0, '["low_confidence"]').when(n % 31 == 0, "not json").when(n % 19 == 0, None).otherwise("[]").alias("flags_json"),
+            F.when(n % 10 == 0, '["similar_name","invalid_zip"]').otherwise("[]").alias("fraud_flags"),
+            F.when(n % 10 == 0, 50).otherwise(0).alias("fraud_score"),
+            F.when(n % 14 == 0, "confirmed_fraud").when(n % 15 == 0, "cleared").alias("review_decision"),
+            F.when(n % 12 == 0, "rejected").alias("action"))
+
+    @cached_property
+    def extraction_pairs(self) -> DataFrame:
+        """Two readings of each line: as written (a) and from the registry (b), with confidences."""
+        from ..functions.text import split_full_address
+        street, city, zip_code = split_full_address(F.col("raw_address"))
+        r = self.roll.select(F.col("voter_id").alias("true_voter_id"), "first_name", "last_name", "street_address",
+                             F.col("city").alias("r_city"), F.col("zip_code").alias("r_zip"))
+        n = F.col("line_number")
+        a_conf = F.col("ocr_confidence").cast("int")
+        b_conf = (50 + (n * 7) % 45).cast("int")
+        fields = ["name", "address", "city", "zip_code"]
+        return self.lines.withColumns({"_s": street, "_c": city, "_z": zip_code}).join(r, "true_voter_id").select(
+            "project_id", "line_number", F.col("raw_name").alias("a_name"), F.col("_s").alias("a_address"),
+            F.when(n % 5 == 0, "").otherwise(F.col("_c")).alias("a_city"), F.col("_z").alias("a_zip_code"),
+            F.when(n % 6 == 0, "").otherwise(F.concat(F.initcap("first_name"), F.lit(" "), F.initcap("last_name"))).alias("b_name"),
+            F.when(n % 4 == 0, F.split_part("street_address", F.lit(" "), F.lit(2))).otherwise(F.col("street_address")).alias("b_address"),
+            F.initcap("r_city").alias("b_city"), F.when(n % 3 == 0, F.substring("r_zip", 1, 4)).otherwise(F.col("r_zip")).alias("b_zip_code"),
+            *[a_conf.alias(f"a_{f}_confidence") for f in fields], *[b_conf.alias(f"b_{f}_confidence") for f in fields])
+
+    @cached_property
+    def ocr_pages(self) -> DataFrame:
+        return self.ocr_words.groupBy("doc_id").agg(
+            F.lit(1000).alias("page_width"), F.max(F.col("top") + F.col("height")).alias("page_height"))
+
+    @cached_property
+    def page_rows(self) -> DataFrame:
+        """Up to seven rows for every fingerprinted page; copies carry a mangled first name."""
+        src = self.lines.where("line_number <= 7").select(
+            F.col("project_id").alias("_p"), F.col("line_number").alias("line_no"), "raw_name", "raw_address")
+        pages = self.fingerprints.select("packet_id", (F.col("packet_id") % 1000000).alias("_p"))
+        name = F.when((F.col("packet_id") >= 1000000) & (F.col("line_no") % 3 == 0),
+                      F.concat(F.lit("zz"), F.col("raw_name"))).otherwise(F.col("raw_name"))
+        street = F.split_part("raw_address", F.lit(","), F.lit(1))
+        return pages.join(src, "_p").select(
+            "packet_id", "line_no", F.when(F.col("raw_name") == "", "blank").otherwise("new_signature").alias("row_status"),
+            F.concat(F.upper(F.concat(name, F.lit("|"), street)), F.lit("#"),
+                     F.substring(F.md5(F.col("raw_address")), 1, 9)).alias("row_fingerprint"))
