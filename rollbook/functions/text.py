@@ -101,6 +101,18 @@ def fold(c: Column) -> Column:
     return F.when(ascii_only, c).otherwise(_fold_unicode(F.when(~ascii_only, c)))
 
 
+def with_folded(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Append folded copies of text columns (new name -> source) with one UDF pass for all."""
+    sep = "\x1f"
+    packed = F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit("")) for c in columns.values()])
+    df = df.withColumn("_packed", packed)
+    df = df.withColumn("_packed", _fold_unicode(F.when(F.col("_packed").rlike(r"[^\x00-\x7F]"), F.col("_packed"))))
+    df = df.withColumn("_packed", F.split("_packed", sep))
+    df = df.withColumns({new: F.when(F.col("_packed").isNull(), F.coalesce(F.col(old), F.lit(""))).otherwise(F.col("_packed")[i])
+                         for i, (new, old) in enumerate(columns.items())})
+    return df.drop("_packed")
+
+
 def plain(c: Column) -> Column:
     """Lower-case words of [a-z0-9]; everything else becomes a blank."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))

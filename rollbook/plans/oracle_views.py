@@ -116,6 +116,10 @@ select *, case when voter_confidence>=72 then 'valid' when voter_confidence>=45
   case when line_no%14=0 then 'confirmed_fraud' when line_no%15=0 then 'cleared' end review_decision,
   case when line_no%12=0 then 'rejected' end as action
 from (select *, cast((packet_id*7+line_no*13)%101 as int) voter_confidence from packet_lines) q"""),
+    "rescans": (["lines"], """
+select project_id+1000000 project_id, line_number, case when raw_name='' then 'new signer' when line_number%4=0 then replace(raw_name,'a','@') else raw_name end raw_name,
+  case when raw_address='' then '1 new st' else raw_address end raw_address from lines"""),
+    "rescan_sheets": (["projects"], "select * replace (project_id+1000000 as project_id) from projects"),
     "norm": (["lines"], """
 select *, concat_ws(' ', nullif(last_name,''), nullif(first_name,''), nullif(split_part(street,' ',1),''), nullif(split_part(street,' ',2),'')) search_key
 from (select *, case when contains(raw_name,',') then trim(split_part(raw_name,',',2)) when contains(raw_name,' ') then split_part(raw_name,' ',1) else '' end first_name,

@@ -86,7 +86,7 @@ def _(v):
 @query("f13_field_normalizers", with_ctes(r"""
 select project_id, line_number, regexp_replace(upper(raw_name),'[^A-Z \-]','','g') name,
   case when raw_address='' then '' else split_part(street,' ',1)||' '||upper(left(split_part(street,' ',2),1))||substr(split_part(street,' ',2),2)||' '||upper(split_part(street,' ',3)) end address,
-  coalesce(list_reduce(list_transform(string_split(city,' '), lambda w: upper(left(w,1))||substr(w,2)), lambda x,y: x||' '||y),'') city,
+  coalesce(trim(list_reduce(list_transform(string_split(regexp_replace(city,'[^A-Za-z -]','','g'),' '), lambda w: upper(left(w,1))||substr(w,2)), lambda x,y: x||' '||y)),'') city,
   zip_code zip, raw_address<>'' zip_ok from norm""", "norm"))
 def _(v):
     n = linkage.normalize_lines(v.lines)
@@ -261,38 +261,36 @@ def _(v):
 # ── re-uploads ───────────────────────────────────────────────────────────────
 
 SHEETS = {
-    "fl": "select project_id, line_number, lower(trim(raw_name)) nm, lower(trim(raw_address)) ad from lines where raw_name<>'' or raw_address<>''",
-    "kl": f"select project_id, line_number, {sorted_tokens('nm')} nm, {sorted_tokens('ad')} ad from fl",
-    "sp": """select a.project_id new_id, b.project_id old_id, b.created_at from projects a join projects b on a.project_id<>b.project_id
-        and (a.cause='' or b.cause='' or lower(a.cause)=lower(b.cause)) and (a.county='' or b.county='' or lower(a.county)=lower(b.county))""",
-    "np": "select a, b from (select distinct nm a from kl), (select distinct nm b from kl) where a<>'' and b<>'' and " + may_reach("a", "b", 75),
-    "apx": "select a, b from (select distinct ad a from kl), (select distinct ad b from kl) where a<>'' and b<>'' and " + may_reach("a", "b", 75),
+    **{f"k{n}": f"""select project_id, line_number, {sorted_tokens('lower(trim(raw_name))')} nm, {sorted_tokens('lower(trim(raw_address))')} ad
+        from {t} where raw_name<>'' or raw_address<>''""" for n, t in (("n", "rescans"), ("o", "lines"))},
+    "sp": """select a.project_id new_id, b.project_id old_id, b.created_at from rescan_sheets a join projects b on
+        (a.cause='' or b.cause='' or lower(a.cause)=lower(b.cause)) and (a.county='' or b.county='' or lower(a.county)=lower(b.county))""",
+    "np": "select a, b from (select distinct nm a from ko), (select distinct nm b from kn) where a<>'' and b<>'' and " + may_reach("a", "b", 75),
+    "apx": "select a, b from (select distinct ad a from ko), (select distinct ad b from kn) where a<>'' and b<>'' and " + may_reach("a", "b", 75),
     **ratio_ctes("nr", "np"), **ratio_ctes("ar", "apx"),
     "hit_names": "select a, b from nr where ratio>=75", "hit_places": "select a, b from ar where ratio>=75",
-    "lp": """select new_id, old_id, created_at, count(*) matches from sp join kl n on n.project_id=new_id join kl o on o.project_id=old_id and o.line_number=n.line_number
+    "lp": """select new_id, old_id, created_at, count(*) matches from sp join kn n on n.project_id=new_id join ko o on o.project_id=old_id and o.line_number=n.line_number
         left join hit_names h on h.a=o.nm and h.b=n.nm left join hit_places g on g.a=o.ad and g.b=n.ad
         where h.a is not null or g.a is not null group by all""",
     "found": """select new_id project_id, old_id original_id, matches, filled, matches/cast(filled as double) score
-        from lp join (select project_id old_id, count(*) filled from fl group by 1) f using (old_id)
+        from lp join (select project_id old_id, count(*) filled from ko group by 1) f using (old_id)
         where matches/cast(filled as double)>=0.5
         qualify row_number() over (partition by new_id order by matches/cast(filled as double) desc, created_at, old_id)=1""",
 }
 
 
-@query("j4_same_sheet", with_ctes("select project_id, original_id, matches, filled, score from found", "lines", "projects", extra=SHEETS))
+@query("j4_same_sheet", with_ctes("select project_id, original_id, matches, filled, score from found", "rescans", "rescan_sheets", extra=SHEETS))
 def _(v):
-    lines = cut(v.lines.select("project_id", "line_number", "raw_name", "raw_address"))
-    return resheet.find_same_sheet(v.projects, lines, v.projects, lines)
+    return resheet.find_same_sheet(v.rescan_sheets, cut(v.rescans), v.projects, cut(v.lines.select(
+        "project_id", "line_number", "raw_name", "raw_address")))
 
 
 @query("j5_continuation_split", with_ctes("""
-select project_id, original_id, line_number, not coalesce(was,false) is_new from (
-  select r.project_id, q.project_id original_id, r.line_number, o.raw_name<>'' or o.raw_address<>'' was
-  from lines r join projects q on q.project_id=r.project_id+1 left join lines o on o.project_id=q.project_id and o.line_number=r.line_number
-  where r.raw_name<>'' or r.raw_address<>'') z""", "lines", "projects"))
+select r.project_id, o.project_id original_id, r.line_number, not (o.raw_name<>'' or o.raw_address<>'') is_new
+from rescans r join lines o on o.project_id+1000000=r.project_id and o.line_number=r.line_number""", "rescans"))
 def _(v):
-    found = v.projects.select((F.col("project_id") - 1).alias("project_id"), F.col("project_id").alias("original_id"))
-    return resheet.split_continuation(found, v.lines, v.lines).select("project_id", "original_id", "line_number", "is_new")
+    found = v.rescan_sheets.select("project_id", (F.col("project_id") - 1000000).alias("original_id"))
+    return resheet.split_continuation(found, v.rescans, v.lines).select("project_id", "original_id", "line_number", "is_new")
 
 
 BITS = """bit_count(xor(('0x'||substr(a.fp,1,8))::bigint,('0x'||substr(b.fp,1,8))::bigint))+bit_count(xor(('0x'||substr(a.fp,9,8))::bigint,('0x'||substr(b.fp,9,8))::bigint))"""
@@ -323,6 +321,6 @@ def _(v):
     return resheet.version_rows(rows, resheet.earlier_rows(pages, rows)).select("packet_id", "line_no", "best_score", "row_status")
 
 
-@query("p11_comparable_sheets", with_ctes("select new_id, old_id from sp", "projects", extra={"sp": SHEETS["sp"].replace("a.project_id<>b.project_id\n        and", "")}))
+@query("p11_comparable_sheets", with_ctes("select new_id, old_id from sp", "rescan_sheets", extra={"sp": SHEETS["sp"]}))
 def _(v):
-    return resheet.comparable_sheets(v.projects, v.projects).select("new_id", "old_id")
+    return resheet.comparable_sheets(v.rescan_sheets, v.projects).select("new_id", "old_id")

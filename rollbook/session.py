@@ -56,3 +56,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{work_folder(df.sparkSession)}/rollbook-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle a small table that is about to fan out, so the work behind it is spread.
+
+    A fixed partition number keeps adaptive execution from merging it back by its size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
