@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
+from ..session import cut
 
 PAGE = ["doc_id"]
 # Merge distances, windows and caps, in pixels and rows.
@@ -432,7 +433,7 @@ def _assembled(rows: DataFrame) -> DataFrame:
 def extract_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Signer rows of every page by the first way that gives any: headers, blocks, numbers, bands."""
     from .quality import first_strategy
-    grid = clip_to_grid(words)
+    grid = cut(clip_to_grid(words))
     return first_strategy(PAGE, extract_by_headers(grid, pages), extract_blocks(grid, pages),
                           extract_by_numbers(grid, pages), extract_by_bands(grid, pages))
 
