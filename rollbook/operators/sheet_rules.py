@@ -157,20 +157,21 @@ def similar_vectors(vectors: DataFrame, group: str, order: str, vector: str, cut
     cells = known.join(hot.select("grp", "tiles"), "grp").withColumn(
         "t", F.pmod(F.xxhash64("txt"), F.col("tiles")).cast("int"))
     left = cells.select("grp", "txt", "v", F.col("t").alias("i"), F.explode(F.sequence("t", F.col("tiles") - 1)).alias("j"))
-    right = cells.select("grp", "txt", "v", F.col("t").alias("j"), F.explode(F.sequence(F.lit(0), "t")).alias("i"))
+    right = cells.select(F.col("grp").alias("grp2"), F.col("txt").alias("txt2"), F.col("v").alias("v2"),
+                         F.col("t").alias("j2"), F.explode(F.sequence(F.lit(0), "t")).alias("i2"))
 
     def close(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"grp": [], "a": [], "b": []})
-        x, y = np.vstack(a["v"].to_numpy()), np.vstack(b["v"].to_numpy())
+        x, y = np.vstack(a["v"].to_numpy()), np.vstack(b["v2"].to_numpy())
         sim = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :] + 1e-9)
         i, j = np.nonzero(sim >= cutoff)
-        p, q = a["txt"].to_numpy()[i], b["txt"].to_numpy()[j]
+        p, q = a["txt"].to_numpy()[i], b["txt2"].to_numpy()[j]
         lo, hi = np.where(p < q, p, q), np.where(p < q, q, p)
         out = pd.DataFrame({"grp": a["grp"].iloc[0], "a": lo, "b": hi})
         return out[out["a"] != out["b"]].drop_duplicates()
 
-    big = left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInPandas(
+    big = left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp2", "i2", "j2")).applyInPandas(
         close, f"grp {dict(known.dtypes)['grp']}, a string, b string").distinct()
     both = F.array(F.struct(F.col("a").alias("txt"), F.col("b").alias("other")),
                    F.struct(F.col("b").alias("txt"), F.col("a").alias("other")))

@@ -56,11 +56,11 @@ def _(v):
 
 
 # House numbers squeezed to a shared street, so that neighbours and runs occur.
-NUMBERED = """select project_id, line_number, cast(split_part(raw_address,' ',1) as bigint)%60 num, split_part(raw_address,' ',2) road from lines where raw_address<>''"""
+NUMBERED = """select project_id, line_number, (cast(split_part(raw_address,' ',1) as bigint)//7)%40 num, split_part(raw_address,' ',2) road from lines where raw_address<>''"""
 
 
 def squeezed(v: Views):
-    num = (F.split_part("raw_address", F.lit(" "), F.lit(1)).try_cast("bigint") % 60).cast("string")
+    num = (F.floor(F.split_part("raw_address", F.lit(" "), F.lit(1)).try_cast("bigint") / 7) % 40).cast("string")
     return v.lines.withColumn("raw_address", F.when(F.col("raw_address") == "", "").otherwise(
         F.concat(num, F.lit(" "), F.split_part("raw_address", F.lit(" "), F.lit(2)))))
 

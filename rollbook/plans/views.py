@@ -201,7 +201,7 @@ class Views:
     @cached_property
     def packet_lines(self) -> DataFrame:
         """Review rows: sheet lines with split address and a row status."""
-        street, city, zip_code = split_full_address(F.col("raw_address"))
+        street, city, zip_code = split_full_address(F.replace("raw_address", F.lit(", CA "), F.lit(", ")))
         n = F.col("line_number")
         short = F.when(n % 11 == 0, F.substring("z", 1, 4)).otherwise(F.col("z"))
         return (
@@ -271,7 +271,7 @@ class Views:
     def extraction_pairs(self) -> DataFrame:
         """Two readings of each line: as written (a) and from the registry (b), with confidences."""
         from ..functions.text import split_full_address
-        street, city, zip_code = split_full_address(F.col("raw_address"))
+        street, city, zip_code = split_full_address(F.replace("raw_address", F.lit(", CA "), F.lit(", ")))
         r = self.roll.select(F.col("voter_id").alias("true_voter_id"), "first_name", "last_name", "street_address",
                              F.col("city").alias("r_city"), F.col("zip_code").alias("r_zip"))
         n = F.col("line_number")
