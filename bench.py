@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from rollbook.plans import registry
@@ -24,6 +25,7 @@ def main() -> None:
         start = time.time()
         registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 2)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 2), "unit": "sec",
                       "queries": seconds, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
 

@@ -38,7 +38,7 @@ def daily_counts_stream(entries: DataFrame, lateness: str = "2 days") -> DataFra
     Entries later than ``lateness`` are dropped here (and counted in the query's
     progress as numRowsDroppedByWatermark); the batch recompute takes them in.
     """
-    return (entries.withWatermark("created_at", lateness)
+    return (entries.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", lateness)
             .groupBy(F.window("created_at", "1 day"), "worker_id")
             .agg(F.sum(F.coalesce("approved", F.lit(0))).alias("day_sigs"))
             .select("worker_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "day_sigs"))
