@@ -10,9 +10,8 @@ import time
 from rollbook.plans import registry
 from rollbook.session import local_session
 
-HEADLINE = ["f2_f5_normalize_lines", "w8_leader_dedup", "r5_duplicate_name", "j1_voter_match", "a1_verify_sheets", "j2_packet_match",
-            "k8_packet_scores", "a2_totals_by_cause", "w1_leaderboard", "a15_m7_pay_run", "st4_clock_shifts", "j6_similar_pages",
-            "w10_cluster_rows"]
+HEADLINE = ["f2_f5_normalize_lines", "j1_voter_match", "w8_leader_dedup", "r5_duplicate_name", "a2_totals_by_cause", "w1_leaderboard",
+            "a15_m7_pay_run", "st4_clock_shifts", "j6_similar_pages"]
 
 
 def main() -> None:
