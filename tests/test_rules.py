@@ -65,3 +65,10 @@ def test_rounding_equals_python(spark):
     xs = [2.675, 0.125, 1.005, -2.675, 0.5, 1.5, 2.5, 1e-9, 12345.685, 33.35]
     df = spark.createDataFrame([(x, round(x, 1), round(x, 2)) for x in xs], "x double, a double, b double")
     assert df.where((vl.round_py(F.col("x"), 1) != F.col("a")) | (vl.round_py(F.col("x"), 2) != F.col("b"))).count() == 0
+
+
+def test_first_strategy_with_rows_wins_a_page(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id int, v string")
+    two = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id int, v string")
+    got = quality.first_strategy(["doc_id"], one, two).collect()
+    assert sorted((r.doc_id, r.v, r.strategy) for r in got) == [(1, "a", 1), (1, "b", 1), (2, "y", 2)]
