@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import mixing
+from rollbook.llm import mixing, packing, rules, secrets
+from rollbook.llm.queries import tokenizer_file
 from rollbook.session import cut
 
 
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return rules.check(docs, keep_text=True).where("kept").select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets blacked out."""
+    return secrets.redact(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
 
 
-STAGES = [("mixing", mix_stage)]
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences of 4096 tokens."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", rules_stage), ("secret scans", secrets_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 ORACLE_SQL = None
 
 

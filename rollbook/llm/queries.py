@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, packing, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,12 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return wrap
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the vocabulary file is; the same place on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def mix_sql(docs: str) -> str:
     """CTEs ending in ``mix``: every column of ``docs`` with size, source_size, target and copies."""
     return rf"""
@@ -49,3 +55,23 @@ def mix_sql(docs: str) -> str:
     SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM mix""")
 def op1(spark, docs, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op3_packing")
+def op3(spark, docs, sf_dir):
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op9_quality_rules")
+def op9(spark, docs, sf_dir):
+    return rules.check(docs).select("doc_id", *rules.NEW[:5], "base_failed", "kept")
+
+
+@query("op10_secret_scan")
+def op10(spark, docs, sf_dir):
+    found, base = F.col("found"), [r.kind for r in secrets.BASE]
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda *kinds: F.filter(found, lambda x: x["kind"].isin(*kinds))
+    return secrets.scan(docs.select("doc_id", "text")).select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(said(of(*base)), 256).alias("base_sha256"), said(found).alias("spans"))
