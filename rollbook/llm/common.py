@@ -124,8 +124,8 @@ def shingles(codes: np.ndarray, owner: np.ndarray, n: int, width: int = 5) -> li
         if b - a >= width:
             out.append(np.unique(whole[a:b - width + 1]))
         elif b > a:
-            part = (codes[a:b] * _PLACE[:b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _PLACE[7]
-            out.append(mixed(np.array([part], np.uint64)))
+            part = (codes[a:b] * _PLACE[:b - a]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mixed(part + _PLACE[7:] * np.uint64(b - a)))
         else:
             out.append(codes[:0])
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, secrets
+from . import mixing, overlap, packing, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,6 +57,11 @@ def op1(spark, docs, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op2_overlap_join")
+def op2(spark, docs, sf_dir):
+    return overlap.join(docs).drop("k")
+
+
 @query("op3_packing")
 def op3(spark, docs, sf_dir):
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
