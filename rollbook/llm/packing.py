@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -15,36 +16,63 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import running, runs, utf8
 
-WORDS_KEPT = 300_000  # tokenized words that a worker remembers
-_tokenizers: dict[str, tuple] = {}
+WORDS_KEPT = 300_000  # tokenized words, and parts of words, that a worker remembers
+# Words made of these parts need no normalizing but lower case; each part is a token run of its own.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;=>?@\[\]^_`{|}~]+")
+_PLAIN = re.compile(rf"(?:{_PARTS.pattern})+")
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file and a worker's memory of words: bytes to bytes of 32-bit ids."""
-    if path not in _tokenizers:
+class Words:
+    """A worker's tokenizer and its memory of words: bytes to the bytes of little-endian 32-bit ids.
+
+    The tokenizer drops white space and no token crosses it, so a text's ids are those
+    of its words one after the other. A plain word's parts go to the tokenizer's model
+    directly, all others through the whole tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    return _tokenizers[path]
+        self.whole = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        others = [b for b in range(256) if b not in letters]
+        self.spelling = dict(zip(others, range(256, 256 + len(others)), strict=True))
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            spelled = part.lower().encode().decode("latin-1").translate(self.spelling)
+            found = self.parts[part] = np.array([t.id for t in self.whole.model.tokenize(spelled)], "<u4").tobytes()
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self._part, _PARTS.findall(text)))
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, words: list[bytes]) -> bytes:
+        known = self.known
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        if len(self.parts) > WORDS_KEPT:
+            self.parts.clear()
+        for w in set(words).difference(known):
+            known[w] = self._word(w)
+        return b"".join(map(known.__getitem__, words))
+
+
+_tokenizers: dict[str, Words] = {}
 
 
 def token_ids(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, then ``end_id``.
-
-    The tokenizer drops white space and no token crosses it, so a text's ids are those
-    of its words one after the other; each word is tokenized once while it is remembered.
-    """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    words = [t.split() for t in texts]
-    new = list(set().union(*words).difference(known)) if words else []
-    for i in range(0, len(new), 20_000):
-        part = new[i:i + 20_000]
-        found = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+    """Little-endian 32-bit ids of each text, then ``end_id``."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Words(path)
     end = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, w)) + end for w in words]
+    return [_tokenizers[path].ids(t.split()) + end for t in texts]
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, room: int = 4096, with_ids: bool = False) -> DataFrame:
