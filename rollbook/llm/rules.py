@@ -31,12 +31,21 @@ def _words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
+def _windows(hashes: Column, width: int) -> Column:
+    """A hash of each window of ``width`` (a power of two) items, made of two half windows side by side."""
+    if width == 1:
+        return hashes
+
+    def paired(half: Column) -> Column:
+        n = F.size(half) - width // 2
+        return F.when(n > 0, F.zip_with(F.slice(half, 1, F.greatest(n, F.lit(0))), F.slice(
+            half, width // 2 + 1, F.greatest(n, F.lit(0))), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(_windows(hashes, width // 2), paired)
+
+
 def _repeat_words(hashes: Column, width: int) -> Column:
     """Words in windows of ``width`` that come twice or more; most texts have none and stop at the first test."""
-    windows = F.when(F.size(hashes) < width, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(hashes) - (width - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(hashes, i, width))))
-
     def covered(found: Column) -> Column:
         order = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         same = lambda e, s, j: F.coalesce(e["h"] == F.get(s, j)["h"], F.lit(False))
@@ -46,7 +55,7 @@ def _repeat_words(hashes: Column, width: int) -> Column:
             F.lit(width), F.coalesce(F.get(p, j + 1) - x, F.lit(width)))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return _let(windows, lambda found: F.when(
+    return _let(_windows(hashes, width), lambda found: F.when(
         F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("long")).otherwise(covered(found)))
 
 
@@ -121,7 +130,7 @@ NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "c
        "base_failed", "kept"]
 
 
-def check(docs: DataFrame, class_distance: float = 0.15, class_slack: float = 0.6, class_words: int = 20,
+def check(docs: DataFrame, class_distance: float = 0.2, class_slack: float = 0.6, class_words: int = 20,
           word_distance: float = 0.15, word_slack: float = 1.3, word_words: int = 60, keep_text: bool = False) -> DataFrame:
     """``docs`` with its measures, its two distances from its language and the verdict ``kept``.
 
