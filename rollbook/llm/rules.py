@@ -11,14 +11,15 @@ from ..session import cut
 from .common import SPACES, attach
 
 # Some of the most common words of four languages.
-COMMON = ("the of and to in is that for it with on are be at by this from or "
-          "der die und das den zu von ist mit des im nicht ein eine auf für "
-          "le la les et de un une en est du que dans pour qui sur au "
-          "el los las y del se una por con para no su lo como es").split()
-COMMON = list(dict.fromkeys(COMMON))
+COMMON = list(dict.fromkeys((
+    "the of and to in is that for "
+    "der die und das den von ist mit "
+    "de la le les et un une en "
+    "que el los y del se por con").split()))
 
-# Classes of characters; all others are counted together after them.
-CLASSES = [r"\p{Lu}", r"\p{Ll}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[.,;:?'\"()-]", r"[#*$%&|<>!]"]
+# Classes of characters: upper case, blank, symbol, digit or mark; all others are counted together after them.
+CLASSES = [r"\p{Lu}", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", r"[0-9.,;:?!'\"()-]"]
+BLANK, SYMBOL = 1, 2
 
 
 def _let(value: Column, body) -> Column:
@@ -31,70 +32,76 @@ def _words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """A hash of each window of ``width`` (a power of two) items, made of two half windows side by side."""
-    if width == 1:
-        return hashes
+def _paired(half: Column, step: int) -> Column:
+    """A hash of each item and the one ``step`` places on: windows of twice the length, side by side halves."""
+    n = F.size(half) - step
+    at = lambda first: F.slice(half, first, F.greatest(n, F.lit(0)))
+    return F.when(n > 0, F.zip_with(at(1), at(step + 1), lambda x, y: F.xxhash64(x, y))).otherwise(
+        F.array().cast("array<bigint>"))
 
-    def paired(half: Column) -> Column:
-        n = F.size(half) - width // 2
-        return F.when(n > 0, F.zip_with(F.slice(half, 1, F.greatest(n, F.lit(0))), F.slice(
-            half, width // 2 + 1, F.greatest(n, F.lit(0))), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(_windows(hashes, width // 2), paired)
+def _repeat_words(words: Column) -> Column:
+    """Words in windows of eight that come twice or more.
 
+    Two equal windows of eight hold five pairs of equal windows of four, so most texts
+    stop at a count of distinct windows of four.
+    """
+    spare = lambda x: F.size(x) - F.size(F.array_distinct(x))
 
-def _repeat_words(hashes: Column, width: int) -> Column:
-    """Words in windows of ``width`` that come twice or more; most texts have none and stop at the first test."""
     def covered(found: Column) -> Column:
         order = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         same = lambda e, s, j: F.coalesce(e["h"] == F.get(s, j)["h"], F.lit(False))
         places = _let(order, lambda s: F.array_sort(F.filter(F.transform(
             s, lambda e, j: F.when(same(e, s, j - 1) | same(e, s, j + 1), e["i"])), lambda p: p.isNotNull())))
-        steps = _let(places, lambda p: F.transform(p, lambda x, j: F.least(
-            F.lit(width), F.coalesce(F.get(p, j + 1) - x, F.lit(width)))))
+        steps = _let(places, lambda p: F.transform(p, lambda x, j: F.least(F.lit(8), F.coalesce(F.get(p, j + 1) - x, F.lit(8)))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return _let(_windows(hashes, width), lambda found: F.when(
-        F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("long")).otherwise(covered(found)))
+    none = F.lit(0).cast("long")
+    two = _let(F.transform(words, lambda x: F.xxhash64(x)), lambda one: _paired(one, 1))
+    four = _let(two, lambda x: _paired(x, 2))
+    return _let(four, lambda x: F.when(spare(x) < 5, none).otherwise(
+        _let(_paired(x, 4), lambda eight: F.when(spare(eight) == 0, none).otherwise(covered(eight)))))
 
 
 def _classes(text: Column) -> Column:
     """Counts of the character classes and of the rest."""
-    counts = [(F.length(text) - F.length(F.regexp_replace(text, f"{c}+", ""))).cast("long") for c in CLASSES]
-    rest = F.length(text) - reduce(Column.__add__, counts)
-    return F.array(*counts, rest.cast("long"))
+    counts = F.array(*((F.length(text) - F.length(F.regexp_replace(text, f"{c}++", ""))).cast("long") for c in CLASSES))
+    rest = lambda c: (F.length(text) - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)).cast("long")
+    return _let(counts, lambda c: F.concat(c, F.array(rest(c))))
 
 
 def _common(words: Column) -> Column:
     """Counts of each common word and of all other words, in lower case and without end marks."""
     bare = F.transform(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))
-    kept = F.concat(F.lit(" "), F.array_join(F.filter(bare, lambda w: w.isin(COMMON)), "  "), F.lit(" "))
+    short = max(len(w.encode()) for w in COMMON)
+    kept = F.filter(bare, lambda w: (F.octet_length(w) <= short) & w.isin(COMMON))
+    line = F.concat(F.lit(" "), F.array_join(kept, "  "), F.lit(" "))
     gone = lambda s, w: F.octet_length(s) - F.octet_length(F.replace(s, F.lit(f" {w} "), F.lit("")))
     counts = lambda s: F.array(*((gone(s, w) / (len(w.encode()) + 2)).cast("long") for w in COMMON))
-    return _let(kept, lambda s: _let(counts(s), lambda c: F.concat(
+    return _let(line, lambda s: _let(counts(s), lambda c: F.concat(
         c, F.array(F.size(words) - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)))))
 
 
+def _of_text(text: Column, body) -> Column:
+    """``body`` of the text, null counting as empty, and its words."""
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(_words(t), lambda w: body(t, w)))
+
+
 def histograms(text: Column) -> Column:
     """Struct of ``classes`` and ``common``: what is compared with the language."""
-    return _let(F.coalesce(text, F.lit("")), lambda t: F.struct(
-        _classes(t).alias("classes"), _let(_words(t), _common).alias("common")))
+    return _of_text(text, lambda t, w: F.struct(_classes(t).alias("classes"), _common(w).alias("common")))
 
 
-def measures(text: Column, window: int = 8) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text is empty."""
-    def of(t: Column) -> Column:
+def measures(text: Column) -> Column:
+    """Struct of the five base measures and the two histograms, each text being split into words once."""
+    def of(t: Column, w: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
-        return F.struct(
-            F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        return _let(_classes(t), lambda c: F.struct(
+            F.size(w).cast("long").alias("n_words"), (F.length(t) - c[BLANK]).alias("word_chars"), c[SYMBOL].alias("n_symbols"),
             _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            _let(_words(t), lambda w: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _repeat_words(h, window)).alias("n_repeat_words"))).alias("w"))
+            _repeat_words(w).alias("n_repeat_words"), c.alias("classes"), _common(w).alias("common")))
 
-    return _let(F.coalesce(text, F.lit("")), of)
+    return _of_text(text, of)
 
 
 def references(histograms: DataFrame) -> DataFrame:
@@ -131,7 +138,7 @@ NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "c
 
 
 def check(docs: DataFrame, class_distance: float = 0.2, class_slack: float = 0.6, class_words: int = 20,
-          word_distance: float = 0.15, word_slack: float = 1.3, word_words: int = 60, keep_text: bool = False) -> DataFrame:
+          word_distance: float = 0.1, word_slack: float = 1.2, word_words: int = 60, keep_text: bool = False) -> DataFrame:
     """``docs`` with its measures, its two distances from its language and the verdict ``kept``.
 
     A text fails with under 20 words or with more than 30 % of them in windows of eight
@@ -148,19 +155,18 @@ def check(docs: DataFrame, class_distance: float = 0.2, class_slack: float = 0.6
     Without ``keep_text`` texts are read once and only numbers are written between the
     two steps. With it the text is read twice, and nothing of it is shuffled.
     """
-    docs = docs.drop(*NEW, "_m", "_h")
+    docs = docs.drop(*NEW, "_m")
     if keep_text:
         refs = references(docs.select("lang", histograms(F.col("text")).alias("_h")).select("lang", "_h.*"))
-        full = attach(docs, cut(refs), "lang").withColumn("_h", histograms(F.col("text"))).withColumn("_m", measures(F.col("text")))
+        full = attach(docs, cut(refs), "lang").withColumn("_m", measures(F.col("text")))
     else:
         rest = docs.drop("text").columns
-        full = cut(docs.select(*rest, histograms(F.col("text")).alias("_h"), measures(F.col("text")).alias("_m")))
-        full = attach(full, cut(references(full.select("lang", "_h.*"))), "lang")
+        full = cut(docs.select(*rest, measures(F.col("text")).alias("_m")))
+        full = attach(full, cut(references(full.select("lang", "_m.classes", "_m.common"))), "lang")
     full = full.withColumns({
-        "n_words": F.col("_m.w.n_words"), "word_chars": F.col("_m.word_chars"), "n_symbols": F.col("_m.n_symbols"),
-        "n_dup_lines": F.col("_m.n_dup_lines"), "n_repeat_words": F.col("_m.w.n_repeat_words"),
-        "class_distance": distance(F.col("_h.classes"), F.col("ref_classes")),
-        "word_distance": distance(F.col("_h.common"), F.col("ref_common"))})
+        **{c: F.col(f"_m.{c}") for c in NEW[:5]},
+        "class_distance": distance(F.col("_m.classes"), F.col("ref_classes")),
+        "word_distance": distance(F.col("_m.common"), F.col("ref_common"))})
     for name, value in verdict(class_distance, class_slack, class_words, word_distance, word_slack, word_words):
         full = full.withColumn(name, value)
-    return full.drop("_m", "_h", "ref_classes", "ref_common")
+    return full.drop("_m", "ref_classes", "ref_common")
