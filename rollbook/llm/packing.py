@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -16,14 +17,14 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import running, runs, utf8
 
-WORDS_KEPT = 300_000  # tokenized words, and parts of words, that a worker remembers
+WORDS_KEPT = 400_000  # tokenized words, and parts of words, that a worker remembers
 # Words made of these parts need no normalizing but lower case; each part is a token run of its own.
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;=>?@\[\]^_`{|}~]+")
 _PLAIN = re.compile(rf"(?:{_PARTS.pattern})+")
 
 
 class Words:
-    """A worker's tokenizer and its memory of words: bytes to the bytes of little-endian 32-bit ids.
+    """A worker's tokenizer and its memory of words: bytes to the bytes of 32-bit ids.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those
     of its words one after the other. A plain word's parts go to the tokenizer's model
@@ -41,17 +42,22 @@ class Words:
         self.spelling = dict(zip(others, range(256, 256 + len(others)), strict=True))
 
     def _part(self, part: str) -> bytes:
+        part = part.lower()
         found = self.parts.get(part)
         if found is None:
-            spelled = part.lower().encode().decode("latin-1").translate(self.spelling)
-            found = self.parts[part] = np.array([t.id for t in self.whole.model.tokenize(spelled)], "<u4").tobytes()
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.spelling)
+            found = self.parts[part] = array("I", [t.id for t in self.whole.model.tokenize(spelled)]).tobytes()
         return found
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if word.isalpha():
+            return self._part(text)
+        if word[:-1].isalpha() and word[-1:] in b".,":
+            return self._part(text[:-1]) + self._part(text[-1])
         if _PLAIN.fullmatch(text):
             return b"".join(map(self._part, _PARTS.findall(text)))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, words: list[bytes]) -> bytes:
         known = self.known
@@ -71,7 +77,7 @@ def token_ids(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """Little-endian 32-bit ids of each text, then ``end_id``."""
     if path not in _tokenizers:
         _tokenizers[path] = Words(path)
-    end = np.array([end_id], "<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
     return [_tokenizers[path].ids(t.split()) + end for t in texts]
 
 
