@@ -125,8 +125,8 @@ def _must_meet(x: np.ndarray | int, y: np.ndarray | int):
 def postings(docs: DataFrame, width: int, bits: int, marks: np.ndarray, df: np.ndarray) -> DataFrame:
     """By bucket the entered light shingles (heavy false) and heavy ones with the key and size of their set.
 
-    ``deep`` is the number of heavy shingles that the document entered. Heavy ones are
-    dealt out by ``part`` too, so that no group grows with a frequent shingle. A set that
+    ``deep`` of a light shingle is the number of heavy ones that the document entered, of a
+    heavy one its place in the document's own order. Heavy ones are dealt out by ``part`` too, so that no group grows with a frequent shingle. A set that
     a worker has just seen is not sent again.
     """
     def work(batches):
@@ -148,8 +148,9 @@ def postings(docs: DataFrame, width: int, bits: int, marks: np.ndarray, df: np.n
                     rest = np.flatnonzero(weight)
                     chosen = np.concatenate((chosen, rest[np.lexsort((full[rest], weight[rest]))][:enter - len(chosen)]))
                 deep = int((weight[chosen] > 0).sum())
-                parts.append((full[chosen], weight[chosen] > 0, np.full(enter, key, np.int64),
-                              np.full(enter, len(s), np.uint32), np.full(enter, deep, np.uint32)))
+                place = np.arange(enter) if deep else np.zeros(enter, np.int64)
+                parts.append((full[chosen], weight[chosen] > 0, np.full(enter, key, np.int64), np.full(enter, len(s), np.uint32),
+                              np.where(weight[chosen] > 0, place, deep).astype(np.uint32)))
             if len(seen) > 500_000:
                 seen.clear()
             if not parts:
@@ -346,14 +347,15 @@ def links(docs: DataFrame, found: DataFrame, width: int = 5, heavy: int = HEAVY)
     Candidates of light lists come from ``search``. A heavy list is first compared with
     one of its documents only, which is enough where near copies of one text made the
     list long; then heavy lists that still hold several components are joined with
-    themselves, across components only. Of the candidates, each document's best one is
+    themselves, across components only and only where the shingle can be the first that
+    two linked documents have in common. Of the candidates, each document's best one is
     compared first and the others only where that has not joined the two.
     """
     total = found.agg(F.sum("n")).first()[0] or 0
     bits = min(24, max(8, int(total // BUCKET_SHINGLES).bit_length()))
     marks, df = heavy_shingles(docs, width, bits, heavy)
     lists = cut(postings(docs, width, bits, marks, df).groupBy("bucket", "heavy", "part").applyInArrow(short_lists, LISTS))
-    long = cut(lists.where("heavy").select(F.col("x").alias("t"), "k", F.col("nx").alias("n")).distinct())
+    long = cut(lists.where("heavy").select(F.col("x").alias("t"), "k", F.col("nx").alias("n"), F.col("deep").alias("place")).distinct())
     lead = long.groupBy("t").agg(F.min_by("n", "k").alias("m"), F.min("k").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     star = long.join(lead.drop("size"), "t").where("k != lead AND 4 * n >= 3 * m AND 4 * m >= 3 * n").groupBy(
         F.col("lead").alias("a"), F.col("k").alias("b")).agg(F.count(F.lit(1)).alias("c"))
@@ -368,13 +370,16 @@ def links(docs: DataFrame, found: DataFrame, width: int = 5, heavy: int = HEAVY)
     more = verify(_between(pairs, comps).drop("c").distinct(), sets)
     sure = cut(sure.union(more))
     comps = components(sure, "a", "b")
-    named = cut(long.join(comps.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", F.coalesce("root", "k").alias("root")))
+    named = cut(long.join(comps.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", "place", F.coalesce("root", "k").alias("root")))
     mixed = named.groupBy("t").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("t")
     open_ = named.join(mixed, "t", "left_semi")
-    one, two = (open_.select("t", *(F.col(c).alias(c + x) for c in ("k", "n", "root"))) for x in "ab")
-    meets = -F.floor(-3 * (F.col("na") + F.col("nb")) / 7) + F.floor(-3 * F.greatest("na", "nb") / 4) + 1
-    last = one.join(two, "t").where("ka < kb AND roota != rootb AND 4 * na >= 3 * nb AND 4 * nb >= 3 * na").groupBy(
-        F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= meets)
+    one, two = (open_.select("t", *(F.col(c).alias(c + x) for c in ("k", "n", "place", "root"))) for x in "ab")
+    # In the common order, the first shingle that both have is followed by enough others in either.
+    least = -F.floor(-3 * (F.col("na") + F.col("nb")) / 7)
+    last = one.where("7 * placea <= na").join(two, "t").where(
+        (F.struct("na", "ka") < F.struct("nb", "kb")) & (F.col("roota") != F.col("rootb")) & (4 * F.col("na") >= 3 * F.col("nb"))
+        & (F.col("placea") <= F.col("na") - least) & (F.col("placeb") <= F.col("nb") - least)).select(
+        F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
     return components(sure.union(verify(last, sets)), "a", "b")
 
 
