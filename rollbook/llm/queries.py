@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, overlap, packing, rules, secrets
+from . import mixing, overlap, packing, private, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _of(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda x: x["kind"].isin(*kinds))
+
+
+def _said(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
 def mix_sql(docs: str) -> str:
     """CTEs ending in ``mix``: every column of ``docs`` with size, source_size, target and copies."""
     return rf"""
@@ -72,11 +81,16 @@ def op9(spark, docs, sf_dir):
     return rules.check(docs).select("doc_id", *rules.NEW[:5], "base_failed", "kept")
 
 
+@query("op6_personal_data")
+def op6(spark, docs, sf_dir):
+    return private.find(docs.select("doc_id", "text")).select(
+        "doc_id", *(F.size(_of("base", k)).cast("long").alias(f"n_{k}") for k in private.KINDS),
+        F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"))
+
+
 @query("op10_secret_scan")
 def op10(spark, docs, sf_dir):
-    found, base = F.col("found"), [r.kind for r in secrets.BASE]
-    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    of = lambda *kinds: F.filter(found, lambda x: x["kind"].isin(*kinds))
+    base = [r.kind for r in secrets.BASE]
     return secrets.scan(docs.select("doc_id", "text")).select(
-        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base),
-        F.sha2(said(of(*base)), 256).alias("base_sha256"), said(found).alias("spans"))
+        "doc_id", *(F.size(_of("found", k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(_said(_of("found", *base)), 256).alias("base_sha256"), _said(F.col("found")).alias("spans"))
