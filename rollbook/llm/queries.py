@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, overlap, packing, private, rules, secrets
+from . import mixing, overlap, packing, private, rules, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,11 @@ def op3(spark, docs, sf_dir):
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op7_token_counts")
+def op7(spark, docs, sf_dir):
+    return tokens.count(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op9_quality_rules")
 def op9(spark, docs, sf_dir):
     return rules.check(docs).select("doc_id", *rules.NEW[:5], "base_failed", "kept")
