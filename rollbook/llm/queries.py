@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, overlap, packing, private, rules, secrets, tokens
+from . import mixing, overlap, packing, private, quality, rules, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +86,13 @@ def op9(spark, docs, sf_dir):
     return rules.check(docs).select("doc_id", *rules.NEW[:5], "base_failed", "kept")
 
 
+@query("op4_quality")
+def op4(spark, docs, sf_dir):
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return quality.score(docs.select("doc_id", "text"), model).withColumn("held_out", held)
+
+
 @query("op6_personal_data")
 def op6(spark, docs, sf_dir):
     return private.find(docs.select("doc_id", "text")).select(
