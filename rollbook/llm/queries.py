@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, overlap, packing, private, quality, rules, secrets, tokens
+from . import mixing, overlap, packing, paragraphs, private, quality, rules, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,6 +93,11 @@ def op4(spark, docs, sf_dir):
     return quality.score(docs.select("doc_id", "text"), model).withColumn("held_out", held)
 
 
+@query("op5_repeated_passages")
+def op5(spark, docs, sf_dir):
+    return paragraphs.repeats(docs)
+
+
 @query("op6_personal_data")
 def op6(spark, docs, sf_dir):
     return private.find(docs.select("doc_id", "text")).select(
