@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, overlap, packing, paragraphs, private, quality, rules, secrets, tokens
+from . import mixing, neighbours, overlap, packing, paragraphs, private, quality, rules, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +81,11 @@ def op7(spark, docs, sf_dir):
     return tokens.count(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query("op8_nearest", table="embeddings")
+def op8(spark, vectors, sf_dir):
+    return neighbours.search(vectors)
+
+
 @query("op9_quality_rules")
 def op9(spark, docs, sf_dir):
     return rules.check(docs).select("doc_id", *rules.NEW[:5], "base_failed", "kept")
