@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import mixing, packing, rules, secrets
+from rollbook.llm import mixing, overlap, packing, rules, secrets
 from rollbook.llm.queries import tokenizer_file
 from rollbook.session import cut
 
@@ -14,6 +14,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.check(docs, keep_text=True).where("kept").select(*docs.columns)
 
 
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return overlap.one_of_each(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets blacked out."""
     return secrets.redact(docs)
@@ -29,7 +34,8 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", rules_stage), ("secret scans", secrets_stage), ("mixing", mix_stage), ("packing", pack_stage)]
+STAGES = [("quality rules", rules_stage), ("n-gram Jaccard join", copies_stage), ("secret scans", secrets_stage),
+          ("mixing sources", mix_stage), ("best-fit packing", pack_stage)]
 ORACLE_SQL = None
 
 

@@ -19,11 +19,11 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import components, runs, shingles, utf8, word_codes, word_spans
+from .common import SPACES, components, runs, shingles, utf8, word_codes, word_spans
 
 HEAVY = 1 << 17  # shingles that may count as heavy: what each task is sent is at most 2 MB
 BITS = 1 << 26  # of the filter of wanted documents, 8 MB
@@ -44,15 +44,16 @@ def key_of(found: np.ndarray) -> int:
 
 
 def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, k: size and key of each document's set; equal sets have equal keys."""
+    """doc_id, text_hash, n, k: size and key of each document's set; equal sets have equal keys."""
     def work(batches):
         for batch in batches:
             found = [(len(s), key_of(s)) for _, s in sets_of(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()),
-                 pa.array([k for _, k in found], pa.int64())], names=["doc_id", "n", "k"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([n for n, _ in found], pa.int64()),
+                 pa.array([k for _, k in found], pa.int64())], names=["doc_id", "text_hash", "n", "k"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, docs.select("doc_id").schema.add("n", "long").add("k", "long"))
+    given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return given.mapInArrow(work, given.drop("text").schema.add("n", "long").add("k", "long"))
 
 
 def _split(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -384,20 +385,39 @@ def links(docs: DataFrame, found: DataFrame, width: int = 5, heavy: int = HEAVY)
 
 
 def join(docs: DataFrame, width: int = 5, heavy: int = HEAVY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, k (its set's key), component_id.
+    """One row per document: doc_id, text_hash, n_shingles, group (its component's key), component_id.
 
     Words are runs of non-blank characters with A-Z in lower case; a text of fewer than
     ``width`` words is one shingle. component_id is the smallest doc_id that links reach.
-    A null or empty text has no shingles and is linked with nothing. Repeated rows and
-    copies have one set, which is searched once. A null id is kept; a component's id is
-    the smallest that is not null. An empty table gives no rows. Other columns are ignored.
+    A null or empty text has no shingles and no group, and is linked with nothing.
+    Repeated rows and copies have one set, which is searched once. A null id is kept; a
+    component's id is the smallest that is not null. An empty table gives no rows. Other
+    columns are ignored.
     """
     found = cut(digests(docs, width))
     comps = links(docs, found, width, heavy)
     kinds = found.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("low"))
     rooted = kinds.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("k", "component_id")
+    named = rooted.join(least, "root").select("k", F.col("root").alias("group"), "component_id")
     return found.join(named, "k", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "k",
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("group")).alias("group"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id, null last.
+
+    Documents without words are in no group and stay. Of repeated rows one stays.
+    """
+    found = cut(join(docs, width))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    chosen = found.where("n_shingles > 0").groupBy("group").agg(F.min(row).alias("m")).select(
+        F.col("m.doc_id").alias("_id"), F.col("m.text_hash").alias("_hash"))
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    blank = F.coalesce(F.trim("text", F.lit(SPACES)), F.lit("")) == ""
+    kept = hashed.where(~blank).join(chosen, (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if not found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(F.lit(0)))
+        kept = kept.withColumn("_n", first).where("_n = 1").drop("_n")
+    return kept.union(hashed.where(blank)).drop("_text")

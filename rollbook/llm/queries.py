@@ -68,7 +68,7 @@ def op1(spark, docs, sf_dir):
 
 @query("op2_overlap_join")
 def op2(spark, docs, sf_dir):
-    return overlap.join(docs).drop("k")
+    return overlap.join(docs).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_packing")

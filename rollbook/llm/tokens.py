@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import runs, utf8
 
 STATES_KEPT = 300_000  # a worker that has compiled more starts anew with the next batch
-BLANK, NEWLINE = 32, 10
+BLANK, LAST = 32, "▁".encode()[-1]  # the sign that blanks become may stand in a text itself
 
 
 def _start(length: int, before: int, count: int) -> int:
@@ -149,7 +149,7 @@ class Transducer:
             self.clear()
         n = len(offsets) - 1
         starts = [offsets[:-1]]
-        blanks = np.flatnonzero((data[1:] == BLANK) & (data[:-1] != BLANK)) + 1
+        blanks = np.flatnonzero((data[1:] == BLANK) & (data[:-1] != BLANK) & (data[:-1] != LAST)) + 1
         for i in np.flatnonzero(np.diff(offsets) > chunk):
             wanted = np.arange(offsets[i] + chunk, offsets[i + 1], chunk)
             at = np.searchsorted(blanks, wanted)
