@@ -28,6 +28,7 @@ from .common import SPACES, components, runs, shingles, utf8, word_codes, word_s
 HEAVY = 1 << 17  # shingles that may count as heavy: what each task is sent is at most 2 MB
 BITS = 1 << 26  # of the filter of wanted documents, 8 MB
 BUCKET_SHINGLES = 1 << 20
+ROUNDS, TRIALS = 3, 8  # of trying documents of a heavy list against the list's largest component
 
 
 def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -342,12 +343,39 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(pairs.columns)
 
 
+def _mixed(long: DataFrame, comps: DataFrame) -> DataFrame:
+    """The heavy lists that still hold several components, with each document's root."""
+    named = long.join(comps.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", "place", F.coalesce("root", "k").alias("root"))
+    mixed = named.groupBy("t").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("t")
+    return cut(named.join(mixed, "t", "left_semi"))
+
+
+def _trials(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each document outside a list's largest component with about ``TRIALS`` documents inside.
+
+    A document takes the list with the largest such component. Members are dealt out to
+    buckets by hash, another way each turn, and a document meets one bucket, so pairs grow
+    with the documents and no list is a group of its own.
+    """
+    sizes = open_.groupBy("t", "root").agg(F.count(F.lit(1)).alias("m"))
+    hubs = sizes.groupBy("t").agg(F.max_by(F.struct("root", "m"), F.struct("m", "root")).alias("hub"))
+    told = open_.join(hubs, "t").select("t", "k", "n", "root", F.col("hub.root").alias("hub"), F.greatest(
+        F.col("hub.m") / TRIALS, F.lit(1)).cast("long").alias("buckets"))
+    bucket = lambda salt: F.pmod(F.xxhash64("k", F.lit(salt)), F.col("buckets"))
+    outside = told.where("root != hub").groupBy("k", "n").agg(F.max_by(F.struct("t", "buckets"), F.struct("buckets", "t")).alias("x")).select(
+        "k", "n", "x.*").select("t", bucket(2 * turn).alias("bucket"), F.col("k").alias("ka"), F.col("n").alias("na"))
+    inside = told.where("root = hub").select("t", bucket(2 * turn + 1).alias("bucket"), F.col("k").alias("kb"), F.col("n").alias("nb"))
+    met = outside.join(inside, ["t", "bucket"]).where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
+    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, width: int = 5, heavy: int = HEAVY) -> DataFrame:
     """(node, root) over the keys of sets: the components of all links between different sets.
 
     Candidates of light lists come from ``search``. A heavy list is first compared with
-    one of its documents only, which is enough where near copies of one text made the
-    list long; then heavy lists that still hold several components are joined with
+    one of its documents only, then what that left out with some documents of the list's
+    largest component, which together join near copies of one text without looking at
+    their pairs; then heavy lists that still hold several components are joined with
     themselves, across components only and only where the shingle can be the first that
     two linked documents have in common. Of the candidates, each document's best one is
     compared first and the others only where that has not joined the two.
@@ -369,11 +397,14 @@ def links(docs: DataFrame, found: DataFrame, width: int = 5, heavy: int = HEAVY)
     sure = cut(verify(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
     comps = components(sure, "a", "b")
     more = verify(_between(pairs, comps).drop("c").distinct(), sets)
-    sure = cut(sure.union(more))
-    comps = components(sure, "a", "b")
-    named = cut(long.join(comps.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", "place", F.coalesce("root", "k").alias("root")))
-    mixed = named.groupBy("t").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("t")
-    open_ = named.join(mixed, "t", "left_semi")
+    comps = components(sure.union(more), "a", "b")
+    for i in range(ROUNDS):
+        open_ = _mixed(long, comps)
+        if open_.isEmpty():
+            return comps
+        told = cut(verify(_trials(open_, i), sets))
+        comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(told), "a", "b")
+    open_ = _mixed(long, comps)
     one, two = (open_.select("t", *(F.col(c).alias(c + x) for c in ("k", "n", "place", "root"))) for x in "ab")
     # In the common order, the first shingle that both have is followed by enough others in either.
     least = -F.floor(-3 * (F.col("na") + F.col("nb")) / 7)
@@ -381,7 +412,7 @@ def links(docs: DataFrame, found: DataFrame, width: int = 5, heavy: int = HEAVY)
         (F.struct("na", "ka") < F.struct("nb", "kb")) & (F.col("roota") != F.col("rootb")) & (4 * F.col("na") >= 3 * F.col("nb"))
         & (F.col("placea") <= F.col("na") - least) & (F.col("placeb") <= F.col("nb") - least)).select(
         F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
-    return components(sure.union(verify(last, sets)), "a", "b")
+    return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verify(last, sets)), "a", "b")
 
 
 def join(docs: DataFrame, width: int = 5, heavy: int = HEAVY) -> DataFrame:
