@@ -77,18 +77,21 @@ def join_nonempty(sep: str, *cols: Column) -> Column:
     return F.concat_ws(sep, *[F.nullif(c, F.lit("")) for c in cols])
 
 
+class _Folded(dict):
+    """What each character folds to, worked out once; only a real comma stays one."""
+
+    def __missing__(self, code: int) -> str:
+        parts = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        self[code] = parts if code == ord(",") else parts.replace(",", " ")
+        return self[code]
+
+
+_folded = _Folded()
+
+
 @F.pandas_udf(T.StringType())
 def _fold_unicode(s: pd.Series) -> pd.Series:
-    def fold(t):
-        if t is None:
-            return None
-        out = []
-        for ch in t:
-            parts = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-            out.append(parts if ch == "," else parts.replace(",", " "))
-        return "".join(out)
-
-    return s.map(fold)
+    return s.map(lambda t: None if t is None else t.translate(_folded))
 
 
 def fold(c: Column) -> Column:
@@ -169,8 +172,8 @@ def exact_key(last: Column, first: Column, street: Column, city: Column, zip_cod
 
 
 def house_number(address: Column) -> Column:
-    """Leading house number as bigint; null when there is none (or over 18 digits)."""
-    return F.regexp_extract(address, r"^\s*(\d{1,18})(?!\d)", 1).try_cast("bigint")
+    """Leading house number as a whole number of up to 38 digits; null when there is none."""
+    return F.regexp_extract(address, r"^\s*(\d+)", 1).try_cast("decimal(38,0)")
 
 
 def street_without_number(address: Column) -> Column:
@@ -301,7 +304,7 @@ def county_flag(county: Column) -> Column:
 
 def role_label(role: Column) -> Column:
     # Role -> label shown.
-    known = {"field_manager": "Field Manager", "evan": "Field Manager", "worker": "Worker",
+    known = {"field_manager": "Field Manager", "worker": "Worker",
              "petitioner": "Petitioner", "office_worker": "Staff"}
     lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     return F.coalesce(F.try_element_at(lookup, role), _title(role))

@@ -16,10 +16,10 @@ from ..functions import values as vl
 from ..session import cut
 
 PAGE = ["doc_id"]
-# Merge distances, windows and caps, in pixels and rows.
+# Merge distances and windows, in pixels and rows.
 ROW_MERGE, WIDE_MERGE, HEADER_MERGE, CONTINUATION = 20, 40, 150, 250
-FUSE_GAP, ROW_TOLERANCE, BLOCK_ABOVE, BLOCK_BELOW, MAX_BLOCK_WORDS = 15, 35, 70, 200, 20
-HEADER_BIN, ANCHOR_BAND, HEADER_CAP, COLUMN_CAP, BLOCK_CAP = 60, 80, 8, 10, 10
+FUSE_GAP, ROW_TOLERANCE, BLOCK_ABOVE, BLOCK_BELOW, DENSE_WORDS = 15, 35, 70, 200, 20
+HEADER_BIN, ANCHOR_BAND = 60, 80
 CLUSTER_GAP = 8
 # Column bands when no header is read, and header words of each column.
 DEFAULT_BANDS = {"name": (0.00, 0.38), "address": (0.38, 0.74), "date": (0.74, 0.88), "sig": (0.88, 1.00)}
@@ -30,6 +30,7 @@ BAND_ALIASES = {"name": ["name", "full name", "print name", "signer"],
 COLUMN_HEADERS = {"sig": r"^signature$", "name": r"^(print|name)$", "addr": r"^(residence|address)$",
                   "city": r"^city$", "zip": r"^zip$", "date": r"^(date|signed)$"}
 COLUMN_STARTS = {"sig": 0.03, "name": 0.15, "addr": 0.38, "city": 0.63, "zip": 0.78, "date": 0.88}
+# How row numbers and zips are printed.
 ROW_NUMBER = r"^[1-8][.):]*$"
 ZIP = r"^\d{5}(-\d{4})?$"
 
@@ -166,12 +167,13 @@ def print_name_anchors(words: DataFrame) -> DataFrame:
     return prints.join(hit, [*PAGE, "seq"], "left_semi")
 
 
-def number_anchors(words: DataFrame, band: int = ANCHOR_BAND) -> DataFrame:
-    """Line-number words: the x-band holding most distinct digits 1-8 (at least 3), topmost per digit.
+def number_anchors(words: DataFrame, band: int = ANCHOR_BAND, numbers: str = "[1-8]") -> DataFrame:
+    """Line-number words: those in the x-band that holds most distinct ``numbers`` (at least 3).
 
-    Candidates are reduced to distinct (x, digit) first, which the page width bounds.
+    ``nth`` counts the words of one number from the top. Candidates are reduced to
+    distinct (x, digit) first, which the page width bounds.
     """
-    digits = boxes(words).withColumn("digit", F.regexp_extract("text", r"^([1-8])\.?$", 1)).where("digit <> ''")
+    digits = boxes(words).withColumn("digit", F.regexp_extract("text", rf"^({numbers})\.?$", 1)).where("digit <> ''")
     spots = digits.groupBy(*PAGE, "lft", "digit").agg(F.count(F.lit(1)).alias("k"))
     seen = digits.groupBy(*PAGE, "digit").agg(F.min("seq").alias("digit_at"))
     refs = digits.join(seen, [*PAGE, "digit"]).groupBy(*PAGE, F.col("lft").alias("r_lft"), F.col("right").alias("r_right")).agg(
@@ -181,9 +183,8 @@ def number_anchors(words: DataFrame, band: int = ANCHOR_BAND) -> DataFrame:
     best = counts.where("n >= 3").groupBy(*PAGE).agg(
         F.min_by(F.struct("r_lft", "r_right"), F.struct(-F.col("n"), "at")).alias("b"), F.max("n").alias("n_digits"))
     inside = digits.join(best, PAGE).where(F.col("lft").between(F.col("b.r_lft") - band, F.col("b.r_right") + band))
-    return inside.groupBy(*PAGE, "digit", "n_digits").agg(
-        F.min_by(F.struct("seq", "top", "lft", "right", "bottom"), F.struct("top", "seq")).alias("a")).select(
-        *PAGE, "digit", "n_digits", "a.*")
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "digit").orderBy("top", "seq"))
+    return inside.select(*PAGE, "digit", "n_digits", nth.alias("nth"), "seq", "top", "lft", "right", "bottom")
 
 
 def column_headers(words: DataFrame, bin_px: int = HEADER_BIN) -> DataFrame:
@@ -206,7 +207,7 @@ def column_headers(words: DataFrame, bin_px: int = HEADER_BIN) -> DataFrame:
 
 # ── extraction by printed columns ────────────────────────────────────────────
 
-def extract_by_headers(words: DataFrame, pages: DataFrame, cap: int = HEADER_CAP) -> DataFrame:
+def extract_by_headers(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Signer rows from the printed column headers, or from proportional columns."""
     edge = pages.join(column_headers(words), PAGE, "left")
     start = lambda f: F.when(F.col("header_y").isNotNull() & F.col(f"x_{f}").isNotNull(), F.col(f"x_{f}")).otherwise(
@@ -238,24 +239,28 @@ def extract_by_headers(words: DataFrame, pages: DataFrame, cap: int = HEADER_CAP
                       tx.strip_form_labels(tx.strip_row_number(join_words(F.col("name")))).alias("raw_name"),
                       tx.join_nonempty(", ", tidy("addr"), tidy("city"), tidy("zip")).alias("raw_address"),
                       tidy("date").alias("raw_date"), "signature_present", vl.round_py(F.col("conf"), 1).alias("ocr_confidence"))
-    return _numbered(out.where("raw_name <> '' or raw_address <> ''"), "signer", cap)
+    return _numbered(out.where("raw_name <> '' or raw_address <> ''"), "signer")
 
 
-def _numbered(rows: DataFrame, order: str, cap: int | None) -> DataFrame:
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
     w = Window.partitionBy(*PAGE).orderBy(order)
-    out = rows.withColumn("line_number", F.row_number().over(w)).drop(order)
-    return out.where(F.col("line_number") <= cap) if cap else out
+    return rows.withColumn("line_number", F.row_number().over(w)).drop(order)
+
+
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each page, for a display of that size; extraction itself never cuts."""
+    return rows.where(F.col("line_number") <= n)
 
 
 # ── extraction by bands ──────────────────────────────────────────────────────
 
 def column_bands(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page, field, lo, hi) shares of the page width, from header words of the first five rows."""
+    """(page, field, lo, hi) shares of the page width, from the first row with three header words or more."""
     field = None
     for f, names in BAND_ALIASES.items():
         cond = F.lower("text").isin(names)
         field = F.when(cond, f) if field is None else field.when(cond, f)
-    seen = boxes(rows).where("row <= 5").withColumn("field", field).where("field is not null").groupBy(*PAGE, "row", "field").agg(
+    seen = boxes(rows).withColumn("field", field).where("field is not null").groupBy(*PAGE, "row", "field").agg(
         F.min_by("cx", F.struct("top", "seq")).alias("cx"))
     chosen = (seen.groupBy(*PAGE, "row").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
               .groupBy(*PAGE).agg(F.min("row").alias("row")))
@@ -270,7 +275,7 @@ def column_bands(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return found.unionByName(plain)
 
 
-def extract_by_bands(words: DataFrame, pages: DataFrame, merge: int = WIDE_MERGE, cap: int | None = COLUMN_CAP) -> DataFrame:
+def extract_by_bands(words: DataFrame, pages: DataFrame, merge: int = WIDE_MERGE) -> DataFrame:
     """Signer rows by column bands; header rows and rows without name and address are left out."""
     rows = boxes(cluster_rows(words, merge))
     bands = column_bands(rows, pages).groupBy(*PAGE).agg(*[
@@ -286,7 +291,7 @@ def extract_by_bands(words: DataFrame, pages: DataFrame, merge: int = WIDE_MERGE
     out = out.where("heads < 3").select(
         *PAGE, "row", *[join_words(F.col(f), None).alias(f"raw_{f}") for f in ("name", "address", "date")],
         "signature_present", vl.round_py(F.col("conf"), 1).alias("ocr_confidence"))
-    return _numbered(out.where("raw_name <> '' or raw_address <> ''"), "row", cap)
+    return _numbered(out.where("raw_name <> '' or raw_address <> ''"), "row")
 
 
 # ── extraction by anchors ────────────────────────────────────────────────────
@@ -305,15 +310,15 @@ def blocks(anchors: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def block_words(anchors: DataFrame, words: DataFrame) -> DataFrame:
-    """Words of every block; ``a_`` columns hold the anchor. Dense blocks are preamble and dropped."""
+    """Words of every block; ``a_`` columns hold the anchor, ``dense`` marks blocks full of words, likely preamble."""
     a = anchors.select(*PAGE, "idx", "block_top", "block_bottom", *[F.col(c).alias(f"a_{c}") for c in ("seq", "top", "lft", "right", "bottom")])
     # The extents of a page meet its words by 100 px shelves: an equi-join, no page-wide pairing.
     shelf = lambda c: F.floor(F.col(c) / 100)
     a = a.where("block_bottom >= block_top").withColumn("shelf", F.explode(F.sequence(shelf("block_top"), shelf("block_bottom"))))
     w = boxes(words).withColumns({"shelf": shelf("top"), "label": tx.is_printed_label(F.col("text"))})
     inside = a.join(w, [*PAGE, "shelf"]).where(F.col("top").between(F.col("block_top"), F.col("block_bottom"))).drop("shelf")
-    thin = inside.groupBy(*PAGE, "idx").agg(F.count_if(~F.col("label")).alias("n")).where(F.col("n") <= MAX_BLOCK_WORDS)
-    return inside.join(thin.select(*PAGE, "idx"), [*PAGE, "idx"])
+    dense = inside.groupBy(*PAGE, "idx").agg((F.count_if(~F.col("label")) > DENSE_WORDS).alias("dense"))
+    return inside.join(dense, [*PAGE, "idx"])
 
 
 def _region(y_min, y_max, x_min=None, x_max=None) -> Column:
@@ -363,8 +368,7 @@ def extract_blocks(words: DataFrame, pages: DataFrame) -> DataFrame:
     anchors = boxes(print_name_anchors(words))
     top = anchors.groupBy(*PAGE).agg(F.min("top").alias("g"), F.count(F.lit(1)).alias("k")).where("k >= 2")
     words = words.join(top.select(*PAGE, "g"), PAGE).where(F.col("top") >= F.col("g") - 200).drop("g")
-    w = Window.partitionBy(*PAGE).orderBy("top", "seq")
-    anchors = anchors.join(top.select(*PAGE), PAGE, "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= BLOCK_CAP).drop("_n")
+    anchors = anchors.join(top.select(*PAGE), PAGE, "left_semi")
     digits = words.where(_is("^[1-7]$")).select(*PAGE, F.col("top").alias("d_top"), F.col("lft").alias("d_lft")).distinct()
     extents = blocks(anchors, words)
     numbered = extents.join(digits, PAGE).where(
@@ -390,7 +394,8 @@ def extract_blocks(words: DataFrame, pages: DataFrame) -> DataFrame:
     signed = _right_of("m_sig", 50, 5, sig_max) | _region(F.col("m_sig.bottom"), F.col("m_sig.bottom") + 60, F.col("m_sig.lft"), sig_max)
     out = src.groupBy(*PAGE, "idx").agg(
         _pick(in_name).alias("name"), _pick(below).alias("below"), _pick(street).alias("street"), _pick(in_zip).alias("zip"),
-        _pick(city).alias("city"), _pick(date).alias("date"), F.max(signed).alias("signature_present"), F.avg("conf").alias("conf"))
+        _pick(city).alias("city"), _pick(date).alias("date"), F.max(signed).alias("signature_present"),
+        F.avg("conf").alias("conf"), F.max("dense").alias("dense"))
     return _assembled(out.withColumn("name", F.when(F.size("name") > 0, F.col("name")).otherwise(F.col("below"))))
 
 
@@ -418,7 +423,7 @@ def extract_by_numbers(words: DataFrame, pages: DataFrame) -> DataFrame:
     signed = _region(F.col("a_top") - 60, F.col("a_top") + BLOCK_BELOW, F.col("a_right") + 5, x("sig"))
     out = src.groupBy(*PAGE, "idx").agg(
         _pick(name).alias("name"), _pick(street).alias("street"), _pick(in_zip).alias("zip"), _pick(city).alias("city"),
-        _pick(date).alias("date"), F.max(signed).alias("signature_present"), F.avg("conf").alias("conf"))
+        _pick(date).alias("date"), F.max(signed).alias("signature_present"), F.avg("conf").alias("conf"), F.max("dense").alias("dense"))
     return _assembled(out)
 
 
@@ -426,16 +431,16 @@ def _assembled(rows: DataFrame) -> DataFrame:
     text = lambda c: join_words(F.col(c))
     out = rows.select(*PAGE, "idx", text("name").alias("raw_name"),
                       tx.join_nonempty(", ", text("street"), text("city"), text("zip")).alias("raw_address"),
-                      text("date").alias("raw_date"), "signature_present", vl.round_py(F.col("conf"), 1).alias("ocr_confidence"))
-    return _numbered(out, "idx", None)
+                      text("date").alias("raw_date"), "signature_present", vl.round_py(F.col("conf"), 1).alias("ocr_confidence"), "dense")
+    return _numbered(out, "idx")
 
 
 def extract_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Signer rows of every page by the first way that gives any: headers, blocks, numbers, bands."""
     from .quality import first_strategy
     grid = cut(clip_to_grid(words))
-    return first_strategy(PAGE, extract_by_headers(grid, pages), extract_blocks(grid, pages),
-                          extract_by_numbers(grid, pages), extract_by_bands(grid, pages))
+    return first_strategy(PAGE, extract_by_headers(grid, pages), extract_blocks(grid, pages).drop("dense"),
+                          extract_by_numbers(grid, pages).drop("dense"), extract_by_bands(grid, pages))
 
 
 def words_after_label(words: DataFrame, pattern: str, reach: int = 80, tolerance: int = ROW_MERGE) -> DataFrame:

@@ -74,7 +74,7 @@ def near_sequences(lines: DataFrame, step: int = MAX_STEP) -> DataFrame:
     """
     numbered = active(lines).select(
         *KEY, _city().alias("city"),
-        F.regexp_extract(tx.strip(F.coalesce("raw_address", F.lit(""))), r"^(\d{1,18})(?!\d)", 1).try_cast("bigint").alias("num"))
+        F.regexp_extract(tx.strip(F.coalesce("raw_address", F.lit(""))), r"^(\d+)", 1).try_cast("decimal(38,0)").alias("num"))
     numbered = numbered.where("num is not null")
     place = ["packet_id", "city"]
     w = Window.partitionBy(*place).orderBy("num")

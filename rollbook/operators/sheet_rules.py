@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.similarity import cosine
 from ..session import cut
 from .similar import DIRECT_TEXTS, distinct_texts, first_partner
 
@@ -136,11 +135,12 @@ def duplicate_addresses(lines: DataFrame, threshold: int = ADDRESS_SIMILARITY, d
 
 
 def similar_vectors(vectors: DataFrame, group: str, order: str, vector: str, cutoff: float = HANDWRITING_SIMILARITY,
-                    direct: int = DIRECT_TEXTS, tile: int = 2048) -> DataFrame:
+                    tile: int = 2048) -> DataFrame:
     """(group, order, partner): the first line of the group whose vector is that close.
 
-    Distinct vectors only; groups beyond ``direct`` vectors are split into tiles, and
-    tile pairs are compared by matrix products that return close pairs alone.
+    Distinct vectors only; a group is split into tiles, one for a normal sheet, and tile
+    pairs are compared by matrix products that return close pairs alone: one formula for
+    every size.
     """
     rows = vectors.where(F.size(vector) > 0).withColumn("_v", F.transform(vector, lambda x: x.cast("double")))
     rows = rows.withColumn("_h", F.sha2(F.to_json(F.struct("_v")), 256))
@@ -148,13 +148,9 @@ def similar_vectors(vectors: DataFrame, group: str, order: str, vector: str, cut
         rows.groupBy(F.col(group).alias("grp"), F.col("_h").alias("txt")).agg(F.any_value("_v").alias("v")),
         ["grp", "txt"])
     known = cut(known)
-    sizes = known.groupBy("grp").count()
-    hot = sizes.where(F.col("count") > direct).withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
-    small = known.join(hot, "grp", "left_anti").select("grp", F.col("txt").alias("a"), F.col("v").alias("va"))
-    pairs = (small.join(small.withColumnsRenamed({"a": "b", "va": "vb"}), "grp").where("a < b")
-             .where(cosine(F.col("va"), F.col("vb")) >= cutoff).select("grp", "a", "b"))
+    tiles = known.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
 
-    cells = known.join(hot.select("grp", "tiles"), "grp").withColumn(
+    cells = known.join(tiles, "grp").withColumn(
         "t", F.pmod(F.xxhash64("txt"), F.col("tiles")).cast("int"))
     left = cells.select("grp", "txt", "v", F.col("t").alias("i"), F.explode(F.sequence("t", F.col("tiles") - 1)).alias("j"))
     right = cells.select(F.col("grp").alias("grp2"), F.col("txt").alias("txt2"), F.col("v").alias("v2"),
@@ -175,7 +171,7 @@ def similar_vectors(vectors: DataFrame, group: str, order: str, vector: str, cut
         close, f"grp {dict(known.dtypes)['grp']}, a string, b string").distinct()
     both = F.array(F.struct(F.col("a").alias("txt"), F.col("b").alias("other")),
                    F.struct(F.col("b").alias("txt"), F.col("a").alias("other")))
-    near = pairs.unionByName(big).select("grp", F.inline(both)).join(
+    near = big.select("grp", F.inline(both)).join(
         known.select("grp", F.col("txt").alias("other"), F.col("first").alias("of")), ["grp", "other"])
     near = near.groupBy("grp", "txt").agg(F.min("of").alias("of"))
     found = known.drop("v").join(near, ["grp", "txt"], "left").select(
@@ -192,12 +188,12 @@ def stated_pairs(lines: DataFrame) -> DataFrame:
     return said.unionByName(back).distinct()
 
 
-def same_handwriting(lines: DataFrame, cutoff: float = HANDWRITING_SIMILARITY, direct: int = DIRECT_TEXTS) -> DataFrame:
+def same_handwriting(lines: DataFrame, cutoff: float = HANDWRITING_SIMILARITY, tile: int = 2048) -> DataFrame:
     """Lines by one writer: explicit pairs where a sheet has any, else close vectors."""
     pairs = stated_pairs(lines)
     known = pairs.join(lines.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("partner").alias("partner"))
     silent = lines.join(pairs.select("project_id").distinct(), "project_id", "left_anti")
-    close = similar_vectors(silent, "project_id", "line_number", "handwriting_vector", cutoff, direct)
+    close = similar_vectors(silent, "project_id", "line_number", "handwriting_vector", cutoff, tile)
     return _flags(known.unionByName(close), SAME_HANDWRITING, F.col("partner"))
 
 
@@ -207,7 +203,7 @@ def scan_sheets(lines: DataFrame, direct: int = DIRECT_TEXTS) -> DataFrame:
     parts = [unsigned_lines(lines), same_city(lines), address_rules(lines), duplicate_names(lines, direct=direct),
              duplicate_addresses(lines, direct=direct), same_date(lines)]
     if {"same_handwriting_as", "handwriting_vector"} <= set(lines.columns):
-        parts.append(same_handwriting(lines, direct=direct))
+        parts.append(same_handwriting(lines))
     for p in parts:
         out = out.unionByName(p)
     return out

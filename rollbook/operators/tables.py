@@ -82,10 +82,10 @@ def drop_duplicate_people(people: DataFrame, children: dict[str, DataFrame], key
     return out
 
 
-def split_failures(results: DataFrame, error: str = "error", limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(good rows, failed rows with status and an error text of at most ``limit`` characters)."""
+def split_failures(results: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(good rows, failed rows with status and the whole error text)."""
     bad = results.where(F.col(error).isNotNull()).withColumns({
-        "status": F.lit("failed"), "error_msg": F.substring(error, 1, limit)}).drop(error)
+        "status": F.lit("failed"), "error_msg": F.col(error)}).drop(error)
     return results.where(F.col(error).isNull()).drop(error), bad
 
 

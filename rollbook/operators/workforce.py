@@ -11,10 +11,10 @@ from .packet_rules import effective_status
 from .tables import first_by, latest_by
 
 # Roles hidden from boards, roles that may be unassigned, name-lookup order.
-HIDDEN_ROLES = ["boss", "admin", "evan"]
+HIDDEN_ROLES = ["boss", "admin"]
 FIELD_ROLES = ["petitioner", "worker", "office_worker"]
-ROLE_ORDER = {"boss": 0, "admin": 1, "field_manager": 2, "evan": 2, "office_worker": 3, "worker": 4}
-MANAGER_ROLES = ["field_manager", "evan", "boss", "admin"]
+ROLE_ORDER = {"boss": 0, "admin": 1, "field_manager": 2, "office_worker": 3, "worker": 4}
+MANAGER_ROLES = ["field_manager", "boss", "admin"]
 MANUAL = "[manual entry]"
 HOUR = 3.6e9
 
@@ -176,13 +176,13 @@ def current_period(periods: DataFrame) -> DataFrame:
     return periods.orderBy((F.col("status") == "open").desc(), F.desc("pay_period_id")).limit(1)
 
 
-def leaderboard(workers: DataFrame, header_totals: DataFrame, shifts: DataFrame) -> DataFrame:
+def leaderboard(workers: DataFrame, header_totals: DataFrame, shifts: DataFrame, hidden: list[str] = HIDDEN_ROLES) -> DataFrame:
     """Lifetime board of active field people, ranked by valid signatures.
 
     People are made one per name before the role filter, as the board always did; ties
     keep the order of ids. The rank is unique.
     """
-    people = one_per_name(workers).where(F.col("is_active") & ~F.col("role").isin(HIDDEN_ROLES))
+    people = one_per_name(workers).where(F.col("is_active") & ~F.col("role").isin(hidden))
     worked = shifts.where("clock_out is not null").groupBy("worker_id").agg(F.sum(worked_micros()).alias("micros"))
     busy = shifts.where("clock_out is null").select("worker_id").distinct().withColumn("is_clocked_in", F.lit(True))
     out = (people.join(header_totals, "worker_id", "left").join(worked, "worker_id", "left").join(busy, "worker_id", "left")
@@ -198,9 +198,9 @@ def leaderboard(workers: DataFrame, header_totals: DataFrame, shifts: DataFrame)
     return global_rank(out, [F.desc("valid_sigs"), F.asc("worker_id")])
 
 
-def worker_cards(workers: DataFrame, totals: DataFrame, shifts: DataFrame, as_of: Column) -> DataFrame:
+def worker_cards(workers: DataFrame, totals: DataFrame, shifts: DataFrame, as_of: Column, without: list[str] = ["boss"]) -> DataFrame:
     """Today's hours up to ``as_of``, estimated pay and validity of every listed worker."""
-    people = one_per_name(workers.where(~F.col("role").isin(["boss", "evan"])), with_role=True)
+    people = one_per_name(workers.where(~F.col("role").isin(without)), with_role=True)
     opened = open_shifts(shifts).select("worker_id", F.col("shift_id").alias("_open"), F.col("clock_in").alias("clock_in_time"))
     today = shifts.where(F.col("clock_in") >= vl.day_start(as_of)).join(opened.select("worker_id", "_open"), "worker_id", "left")
     now = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("clock_in").cast("timestamp"))
@@ -365,18 +365,18 @@ def team_leaderboard(teams: DataFrame, workers: DataFrame, counts: DataFrame) ->
             .orderBy(F.desc("total_sigs"), "team_id"))
 
 
-def own_team(workers: DataFrame, teams: DataFrame) -> DataFrame:
+def own_team(workers: DataFrame, teams: DataFrame, managers: list[str] = MANAGER_ROLES) -> DataFrame:
     """Each worker's team: the one they manage for managers (lowest id), else the one they belong to."""
     led = first_by(teams.where("manager_id is not null"), [F.col("manager_id")], [F.col("team_id")]).select(
         F.col("manager_id").alias("worker_id"), F.col("team_id").alias("_led"))
     out = workers.join(led, "worker_id", "left").withColumn(
-        "own_team_id", F.when(F.col("role").isin(MANAGER_ROLES), F.col("_led")).otherwise(F.col("team_id")))
+        "own_team_id", F.when(F.col("role").isin(managers), F.col("_led")).otherwise(F.col("team_id")))
     return out.join(teams.select(F.col("team_id").alias("own_team_id"), "team_name"), "own_team_id").select(
         "worker_id", "role", "own_team_id", "team_name")
 
 
-def active_people(workers: DataFrame) -> DataFrame:
+def active_people(workers: DataFrame, hidden: list[str] = [*HIDDEN_ROLES, "field_manager"]) -> DataFrame:
     """Names offered for selection, one per name, with the label of their role."""
     from ..functions.text import role_label
-    shown = workers.where(F.col("is_active") & ~F.col("role").isin(HIDDEN_ROLES + ["field_manager", "evann"]))
+    shown = workers.where(F.col("is_active") & ~F.col("role").isin(hidden))
     return first_by(shown, [name_key()], by_activity()).select("worker_id", "full_name", role_label(F.col("role")).alias("role_label"))

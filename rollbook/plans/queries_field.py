@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import clock, tables, workforce
+from ..streaming import live
 from .oracle_views import HOURS, round_py, with_ctes
 from .registry import query
 from .views import Views
@@ -143,7 +144,7 @@ select worker_id, full_name, valid_sigs, total_sigs, {round_py('case when total_
 from (select p.*, coalesce(t.total_sigs,0) total_sigs, coalesce(t.valid_sigs,0) valid_sigs, coalesce(us,0)/1e6/3600.0 as hours
   from ({FIRST_BY_NAME}) p left join (select worker_id, sum(total_lines) total_sigs, sum(approved) valid_sigs from assignments join headers using (project_id) group by 1) t using (worker_id)
   left join (select worker_id, sum({HOURS}) us from shifts where clock_out is not null group by 1) s using (worker_id)
-  where is_active and role not in ('boss','admin','evan')) z""", "workers", "assignments", "headers", "shifts"))
+  where is_active and role not in ('boss','admin')) z""", "workers", "assignments", "headers", "shifts"))
 def _(v):
     totals = workforce.worker_header_totals(v.assignments, v.headers)
     return workforce.leaderboard(v.workers, totals, v.shifts)
@@ -266,7 +267,7 @@ select worker_id, full_name, role, o.shift_id is not null is_clocked_in, o.clock
   coalesce(total_sigs,0) total_sigs, coalesce(valid_sigs,0) valid_sigs,
   {round_py('case when coalesce(total_sigs,0)>0 then valid_sigs/total_sigs::double*100.0 else 0.0 end',1)} validity_rate,
   cast(round_even(coalesce(us,0)/1e6/3600.0*hourly_wage*100,0) as bigint) estimated_pay_cents
-from (select * from workers where role not in ('boss','evan') qualify row_number() over (partition by lower(trim(full_name)), role order by case when is_active then 0 else 1 end, worker_id)=1) p
+from (select * from workers where role not in ('boss') qualify row_number() over (partition by lower(trim(full_name)), role order by case when is_active then 0 else 1 end, worker_id)=1) p
 left join op o using (worker_id) left join (
   select worker_id, sum(case when clock_out is not null then epoch_us(s.clock_out)-epoch_us(s.clock_in) when s.shift_id=op.shift_id then epoch_us(timestamp '{AS_OF}')-epoch_us(s.clock_in) else 0 end) us
   from shifts s left join op using (worker_id) where s.clock_in>=timestamp '2024-01-20' group by 1) t using (worker_id)
@@ -287,7 +288,7 @@ def _(v):
 
 @query("j18_own_team", with_ctes("""
 select w.worker_id, role, t.team_id own_team_id, t.team_name from workers w join teams t on t.team_id=
-  case when role in ('field_manager','evan','boss','admin') then (select min(team_id) from teams x where x.manager_id=w.worker_id) else w.team_id end""", "workers", "teams"))
+  case when role in ('field_manager','boss','admin') then (select min(team_id) from teams x where x.manager_id=w.worker_id) else w.team_id end""", "workers", "teams"))
 def _(v):
     return workforce.own_team(v.workers, v.teams)
 
@@ -313,7 +314,7 @@ def _(v):
 
 @query("p8_find_by_name", with_ctes("""
 select worker_id, full_name, role from workers where is_active qualify row_number() over (partition by lower(full_name)
-  order by case role when 'boss' then 0 when 'admin' then 1 when 'field_manager' then 2 when 'evan' then 2 when 'office_worker' then 3 when 'worker' then 4 else 9 end, worker_id)=1""", "workers"))
+  order by case role when 'boss' then 0 when 'admin' then 1 when 'field_manager' then 2 when 'office_worker' then 3 when 'worker' then 4 else 9 end, worker_id)=1""", "workers"))
 def _(v):
     wanted = v.workers.select(F.concat(F.lit(" "), F.upper("full_name")).alias("wanted_name"))
     return workforce.find_by_name(v.workers, wanted).select("worker_id", "full_name", "role")
@@ -326,7 +327,7 @@ def _(v):
 
 @query("active_people", with_ctes("""
 select worker_id, full_name, case role when 'worker' then 'Worker' when 'petitioner' then 'Petitioner' when 'office_worker' then 'Staff' end role_label
-from workers where is_active and role not in ('boss','admin','evan','field_manager','evann') qualify row_number() over (partition by lower(trim(full_name)) order by worker_id)=1""", "workers"))
+from workers where is_active and role not in ('boss','admin','field_manager') qualify row_number() over (partition by lower(trim(full_name)) order by worker_id)=1""", "workers"))
 def _(v):
     return workforce.active_people(v.workers)
 
@@ -345,9 +346,9 @@ def _(v):
     return workforce.latest_positions(v.pins).select("worker_id", "lat", "lng")
 
 
-@query("st3_live_total", with_ctes("select sum(sig_count) total from lc", "live_events", extra={"lc": LATEST["lc"]}))
+@query("st3_live_total", with_ctes("select coalesce(sum(approved),0) total_valid_sigs from headers", "headers"))
 def _(v):
-    return workforce.latest_counts(v.live_events).agg(F.sum("sig_count").alias("total"))
+    return live.total_valid_stream(v.headers)
 
 
 @query("j10_live_overlay", with_ctes("""

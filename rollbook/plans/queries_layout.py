@@ -78,12 +78,27 @@ select doc_id, line_number, raw_name, raw_address, raw_date, signature_present,
     select doc_id, seq//24 g, coalesce(string_agg(text,' ' order by lft, top, seq) filter (cx<380),'') raw_name, coalesce(string_agg(text,' ' order by lft, top, seq) filter (cx>=380 and cx<740),'') raw_address,
       coalesce(string_agg(text,' ' order by lft, top, seq) filter (cx>=740 and cx<880),'') raw_date, coalesce(bool_or(cx>=880 and cx<1000),false) signature_present, {round_py('avg(conf)',1)} ocr_confidence,
       {'+'.join(f"max(contains(lower(text),'{h}')::int)" for h in ('name', 'address', 'date', 'signature', 'city', 'zip', 'state'))} heads
-    from (select *, lft+width//2 cx from ocr_words) w group by 1,2) a where heads<3 and (raw_name<>'' or raw_address<>'')) b where line_number<=10""", "ocr_words"))
+    from (select *, lft+width//2 cx from ocr_words) w group by 1,2) a where heads<3 and (raw_name<>'' or raw_address<>'')) b""", "ocr_words"))
 def _(v):
     return layout.extract_by_bands(v.ocr_words, v.ocr_pages)
 
 
-@query("a18_w13_number_anchors")
+def anchors_sql(words: str) -> dict[str, str]:
+    """CTEs ending in ``anchors``, the line-number words of the table ``words``."""
+    return {
+        "d": f"""select doc_id, seq, lft, top, lft+width as "right", top+height as bottom, regexp_extract(text,'^([1-8])\\.?$',1) digit
+          from {words} where regexp_matches(text,'^[1-8]\\.?$')""",
+        "refs": """select doc_id, lft r_lft, "right" r_right, min((digit_at, seq)) spot
+          from d join (select doc_id, digit, min(seq) digit_at from d group by 1,2) s using (doc_id, digit) group by 1,2,3""",
+        "best": """select * from (select r.doc_id, r_lft, r_right, any_value(spot) spot, count(distinct digit) n from refs r
+          join (select distinct doc_id, lft, digit from d) s on r.doc_id=s.doc_id and s.lft between r_lft-80 and r_right+80 group by 1,2,3) c
+          where n>=3 qualify row_number() over (partition by doc_id order by n desc, spot)=1""",
+        "anchors": """select d.doc_id, digit, n n_digits, row_number() over (partition by d.doc_id, digit order by top, seq) nth, seq, top, lft, "right", bottom
+          from d join best b on d.doc_id=b.doc_id and d.lft between r_lft-80 and r_right+80"""}
+
+
+@query("a18_w13_number_anchors", with_ctes("select * from anchors", "ocr_words", extra={
+    "numbered": "select * replace (case when seq%17=0 then cast(seq%8+1 as varchar) else text end as text) from ocr_words"} | anchors_sql("numbered")))
 def _(v):
     numbered = v.ocr_words.withColumn("text", F.when(F.col("seq") % 17 == 0, (F.col("seq") % 8 + 1).cast("string")).otherwise(F.col("text")))
     return layout.number_anchors(numbered)
@@ -114,7 +129,15 @@ def _(v):
     return layout.extract_by_headers(forms(v), v.ocr_pages)
 
 
-@query("w14_blocks")
+FORMS_SQL = """select * replace (case when seq<6 then ['Signature','Print','Residence','City','Zip','Date'][1+seq%12] when seq<12 then text
+    when seq%12=0 then cast((seq//12-1)%8+1 as varchar) else text end as text, case when seq<12 then seq%12*160+40 else lft end as lft, top*6 as top) from ocr_words"""
+
+
+@query("w14_blocks", with_ctes("""
+select doc_id, idx, top, top-70 block_top, least(top+200, least(coalesce(next_top, top+200)-10, coalesce(nullif(decl,0)-10, top+200))) block_bottom
+from (select *, row_number() over (partition by doc_id order by top, seq) idx, lead(top) over (partition by doc_id order by top, seq) next_top from anchors) a
+left join (select doc_id, arg_min(top, seq) decl from forms where regexp_matches(text,'(?i)^declaration$') group by 1) s using (doc_id)""",
+    "ocr_words", extra={"forms": FORMS_SQL} | anchors_sql("forms")))
 def _(v):
     words = forms(v)
     return layout.blocks(layout.number_anchors(words), words).select("doc_id", "idx", "top", "block_top", "block_bottom")
@@ -146,7 +169,16 @@ def _(v):
     return layout.extract_pages(words, pages)
 
 
-@query("f24_words_after_label")
+@query("f24_words_after_label", with_ctes(r"""
+select doc_id, label_seq, coalesce(trim(value),'') "value" from (select doc_id, seq label_seq from w where is_label) l left join (
+  select doc_id, label_seq, string_agg(text,' ' order by lft, top, seq) filter (case when any_beside then beside else under and top-first_top<=20 end) as value
+  from (select *, min(top) filter (under) over (partition by doc_id, label_seq) first_top, bool_or(beside) over (partition by doc_id, label_seq) any_beside from near) n
+  group by 1,2) f using (doc_id, label_seq)""", "ocr_words", extra={
+    "w": r"""select *, lft+width as r, top+height//2 cy, top+height bottom, regexp_matches(text,'(?i)^date:?$') is_label,
+       regexp_matches(trim(text,':'),'(?i)^(print|name|residence|address|city|state|zip|date|signature|only|res\.?)$') is_word from (
+       select * replace (case seq%12 when 0 then cast((seq//12)%7+1 as varchar) when 1 then 'Print' when 2 then 'Name:' when 7 then 'Date:' else text end as text, top*6 as top) from ocr_words) z""",
+    "near": """select * from (select l.doc_id, l.seq label_seq, x.seq, x.text, x.lft, x.top, abs(x.cy-l.cy)<=20 and x.lft>l.r+5 beside, x.top>l.bottom and x.top<=l.bottom+80 under
+       from w l join w x on x.doc_id=l.doc_id and l.is_label and not x.is_word) p where beside or under"""}))
 def _(v):
     return layout.words_after_label(labelled(v), "^date:?$")
 

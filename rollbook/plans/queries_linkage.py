@@ -50,7 +50,7 @@ def _(v):
 select project_id, line_number, try_cast(regexp_extract(raw_address,'^\s*(\d+)',1) as bigint) house_number,
   lower(trim(regexp_replace(raw_address,'^\s*\d+\s*',''))) street, replace(raw_date,'-','') date_key from lines""", "lines"))
 def _(v):
-    return v.lines.select("project_id", "line_number", tx.house_number(F.col("raw_address")).alias("house_number"),
+    return v.lines.select("project_id", "line_number", tx.house_number(F.col("raw_address")).cast("bigint").alias("house_number"),
                           tx.street_without_number(F.col("raw_address")).alias("street"), tx.squeeze_date(F.col("raw_date")).alias("date_key"))
 
 

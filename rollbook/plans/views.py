@@ -293,8 +293,8 @@ class Views:
 
     @cached_property
     def page_rows(self) -> DataFrame:
-        """Up to seven rows for every fingerprinted page; copies carry a mangled first name."""
-        src = self.lines.where("line_number <= 7").select(
+        """The rows of every fingerprinted page; copies carry a mangled first name."""
+        src = self.lines.select(
             F.col("project_id").alias("_p"), F.col("line_number").alias("line_no"), "raw_name", "raw_address")
         pages = self.fingerprints.select("packet_id", (F.col("packet_id") % 1000000).alias("_p"))
         name = F.when((F.col("packet_id") >= 1000000) & (F.col("line_no") % 3 == 0),

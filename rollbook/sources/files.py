@@ -26,7 +26,7 @@ def scan_documents(spark: SparkSession, folder: str, glob: str = "*.{pdf,PDF}")
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 
-def admit_uploads(files: DataFrame, allowed: list[str] = SHEET_SUFFIXES, default_name: str = "petition.pdf",
+def admit_uploads(files: DataFrame, allowed: list[str] = SHEET_SUFFIXES, default_name: str = "upload.pdf",
                   max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """Append filename, suffix and reject_reason (null when admitted) from path and length."""
     suffix = lambda name: F.lower(F.regexp_extract(name, r"[^.](\.[^./]+)$", 1))

@@ -35,7 +35,7 @@ def read_roll(spark: SparkSession, path: str, with_position: bool = True) -> Dat
     if with_position:
         raw = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
                          F.monotonically_increasing_id().alias("_i"))
-    checked = check_columns(raw.select(*names)).columns
+    checked = check_columns(raw.select(*[F.col(f"`{c}`") for c in names])).columns
     fill = lambda c: F.when(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").isin(MISSING), "").otherwise(F.col(f"`{c}`"))
     out = raw.select(*[fill(c).alias(n) for c, n in zip(names, checked)], *(["_f", "_b", "_i"] if with_position else []))
     if with_position:
@@ -44,8 +44,8 @@ def read_roll(spark: SparkSession, path: str, with_position: bool = True) -> Dat
 
 
 def preview_roll(roll: DataFrame, n: int = 5) -> DataFrame:
-    """First rows of a checked registry, at most eight columns."""
-    return check_columns(roll).limit(n).select(*check_columns(roll).columns[:8])
+    """First rows of a checked registry."""
+    return check_columns(roll).limit(n)
 
 
 def parse_pasted_roll(texts: DataFrame, key: str = "packet_id", text: str = "voter_roll_text") -> DataFrame:

@@ -8,6 +8,8 @@ import time
 
 import duckdb
 
+from rollbook.session import drop_cuts
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -43,6 +45,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     t0 = time.time()
     df = query(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    drop_cuts(spark)
     t1 = time.time()
     if sql is None:
         return len(got) > 0, f"{name}: rows={len(got)} spark={t1 - t0:.1f}s (no SQL)"

@@ -34,7 +34,7 @@ def test_large_vector_groups_take_the_tiled_path(spark):
     rows = [(1, i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)]
     df = spark.createDataFrame(rows, "project_id int, line_number int, v array<double>")
     a = sheet_rules.similar_vectors(df, "project_id", "line_number", "v").collect()
-    b = sheet_rules.similar_vectors(df, "project_id", "line_number", "v", direct=2, tile=5).collect()
+    b = sheet_rules.similar_vectors(df, "project_id", "line_number", "v", tile=5).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and a
 
 
