@@ -343,14 +343,14 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(pairs.columns)
 
 
-def _mixed(long: DataFrame, comps: DataFrame) -> DataFrame:
-    """The heavy lists that still hold several components, with each document's root."""
-    named = long.join(comps.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", "place", F.coalesce("root", "k").alias("root"))
+def mixed_lists(long: DataFrame, comps: DataFrame) -> DataFrame:
+    """The lists (t) that still hold several components, with the root of each set (k)."""
+    named = long.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     mixed = named.groupBy("t").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("t")
     return cut(named.join(mixed, "t", "left_semi"))
 
 
-def _trials(open_: DataFrame, turn: int) -> DataFrame:
+def trials(open_: DataFrame, turn: int) -> DataFrame:
     """Pairs of each document outside a list's largest component with about ``TRIALS`` documents inside.
 
     A document takes the list with the largest such component. Members are dealt out to
@@ -399,12 +399,12 @@ def links(docs: DataFrame, found: DataFrame, width: int = 5, heavy: int = HEAVY)
     more = verify(_between(pairs, comps).drop("c").distinct(), sets)
     comps = components(sure.union(more), "a", "b")
     for i in range(ROUNDS):
-        open_ = _mixed(long, comps)
+        open_ = mixed_lists(long, comps)
         if open_.isEmpty():
             return comps
-        told = cut(verify(_trials(open_, i), sets))
+        told = cut(verify(trials(open_, i), sets))
         comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(told), "a", "b")
-    open_ = _mixed(long, comps)
+    open_ = mixed_lists(long, comps)
     one, two = (open_.select("t", *(F.col(c).alias(c + x) for c in ("k", "n", "place", "root"))) for x in "ab")
     # In the common order, the first shingle that both have is followed by enough others in either.
     least = -F.floor(-3 * (F.col("na") + F.col("nb")) / 7)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import components, mixed, runs, utf8, word_codes, word_spans
+from .overlap import ROUNDS, mixed_lists, trials, verify
 
 PASSAGE, WIDTH = 25, 5
 BANDS, ROWS = 16, 4
@@ -101,7 +102,7 @@ def _key(found: np.ndarray) -> int:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, key, start, end (code points) and words of all paragraphs and stretches; bands of the paragraphs only."""
+    """doc_id, key, start, end (code points) and words of all paragraphs and stretches; n and bands of the paragraphs only."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +124,12 @@ def units(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(a + at[:, 0])), pa.array(keys, pa.int64()), pa.array(part.start[at[:, 1]]),
                      pa.array(part.end[at[:, 2]]), pa.array(at[:, 2] - at[:, 1] + 1),
+                     pa.array([len(s) for s in sets] + [None] * (len(at) - len(sets)), pa.int64()),
                      pa.array([x.tobytes() for x in bands] + [None] * (len(at) - len(bands)), pa.binary())],
-                    names=["doc_id", "key", "start", "end", "words", "bands"])
+                    names=["doc_id", "key", "start", "end", "words", "n", "bands"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, key long, start long, end long, words long, bands binary")
+        work, f"doc_id {kind}, key long, start long, end long, words long, n long, bands binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,45 +161,32 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, same: whether the two lines are similar."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(100 * common >= 75 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())], names=["a", "b", "same"])
-
-    one, two = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long, same boolean")
-
-
 def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, root) of the components of similar lines, from (key, bands) of distinct lines.
+    """(node, root) of the components of similar lines, from (key, n, bands) of distinct lines.
 
-    Lines that collide in a band are compared with one of them; those that turn out
-    different are put together again and compared with one of theirs, until no two lines
-    of a band's bucket are left apart without a comparison or a chain of similar lines.
-    A bucket of n alike lines takes n - 1 comparisons.
+    Lines that collide in a band are compared: first with one of the band's bucket, then
+    with some of the bucket's largest component, and what is still apart with all others
+    that collide. So a bucket of near copies is joined without looking at its pairs.
     """
-    band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i AS i, xxhash64(substring(bands, 8 * i + 1, 8), i) AS h))")
-    long = lines.select("key", F.explode(band).alias("b")).select("key", F.col("b.h").alias("h"))
-    shared = long.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")).where("n > 1")
-    open_ = cut(long.join(shared.select("h", "lead"), "h"))
-    sets = cut(_sets(docs, open_.select("key").distinct()))
-    sure = None
-    while True:
-        pairs = open_.where("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-        told = cut(_compare(pairs, sets))
-        sure = told.where("same") if sure is None else sure.union(told.where("same"))
-        apart = open_.join(told.where("NOT same"), (F.col("lead") == F.col("a")) & (F.col("key") == F.col("b")), "left_semi").select("h", "key")
-        next_ = apart.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")).where("n > 1")
-        open_ = cut(apart.join(next_.select("h", "lead"), "h"))
+    band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(bands, 8 * i + 1, 8), i))")
+    long = lines.select(F.col("key").alias("k"), "n", F.explode(band).alias("t"))
+    lead = long.groupBy("t").agg(F.min("k").alias("lead"), F.min_by("n", "k").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    long = cut(long.join(lead, "t"))
+    sets = cut(_sets(docs, long.select(F.col("k").alias("key")).distinct()).withColumnRenamed("key", "k"))
+    fits = lambda x, y: (4 * F.col(x) >= 3 * F.col(y)) & (4 * F.col(y) >= 3 * F.col(x))
+    star = long.where((F.col("k") != F.col("lead")) & fits("n", "m")).select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct()
+    comps = components(verify(star, sets), "a", "b")
+    long = long.drop("lead", "m")
+    known = lambda: comps.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for turn in range(ROUNDS):
+        open_ = mixed_lists(long, comps)
         if open_.isEmpty():
-            break
-    return components(sure, "a", "b")
+            return comps
+        comps = components(known().union(verify(trials(open_, turn), sets)), "a", "b")
+    open_ = mixed_lists(long, comps)
+    one, two = (open_.select("t", *(F.col(c).alias(c + x) for c in ("k", "n", "root"))) for x in "ab")
+    last = one.join(two, "t").where((F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & fits("na", "nb"))
+    return components(known().union(verify(last.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct(), sets)), "a", "b")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -214,7 +203,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     no rows; other columns are ignored.
     """
     found = cut(units(docs))
-    lines = found.where("bands IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"))
+    lines = found.where("bands IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     comps = similar_lines(docs, lines).withColumnRenamed("node", "key")
     narrow = found.select("doc_id", F.when(F.col("bands").isNull(), F.col("key")).alias("stretch"),
                           F.when(F.col("bands").isNotNull(), F.col("key")).alias("key"), "start", "end", "words")
