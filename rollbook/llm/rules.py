@@ -99,7 +99,7 @@ def measures(text: Column) -> Column:
         return _let(_classes(t), lambda c: F.struct(
             F.size(w).cast("long").alias("n_words"), (F.length(t) - c[BLANK]).alias("word_chars"), c[SYMBOL].alias("n_symbols"),
             _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            _repeat_words(w).alias("n_repeat_words"), c.alias("classes"), _common(w).alias("common")))
+            _repeat_words(w).alias("n_repeat_words"), c.alias("_classes"), _common(w).alias("_common")))
 
     return _of_text(text, of)
 
@@ -155,18 +155,19 @@ def check(docs: DataFrame, class_distance: float = 0.2, class_slack: float = 0.6
     Without ``keep_text`` texts are read once and only numbers are written between the
     two steps. With it the text is read twice, and nothing of it is shuffled.
     """
-    docs = docs.drop(*NEW, "_m")
+    docs = docs.drop(*NEW, "_classes", "_common")
+    rest = [c for c in docs.columns if c != "text" or keep_text]
+    # The one-element generator keeps the measures one step: merged into what follows,
+    # they would be worked out again wherever one of them is used.
+    full = docs.select(*rest, F.inline(F.array(measures(F.col("text")))))
     if keep_text:
-        refs = references(docs.select("lang", histograms(F.col("text")).alias("_h")).select("lang", "_h.*"))
-        full = attach(docs, cut(refs), "lang").withColumn("_m", measures(F.col("text")))
+        refs = references(docs.select("lang", F.inline(F.array(histograms(F.col("text"))))))
     else:
-        rest = docs.drop("text").columns
-        full = cut(docs.select(*rest, measures(F.col("text")).alias("_m")))
-        full = attach(full, cut(references(full.select("lang", "_m.classes", "_m.common"))), "lang")
-    full = full.withColumns({
-        **{c: F.col(f"_m.{c}") for c in NEW[:5]},
-        "class_distance": distance(F.col("_m.classes"), F.col("ref_classes")),
-        "word_distance": distance(F.col("_m.common"), F.col("ref_common"))})
+        full = cut(full)
+        refs = references(full.select("lang", F.col("_classes").alias("classes"), F.col("_common").alias("common")))
+    full = attach(full, cut(refs), "lang").withColumns({
+        "class_distance": distance(F.col("_classes"), F.col("ref_classes")),
+        "word_distance": distance(F.col("_common"), F.col("ref_common"))})
     for name, value in verdict(class_distance, class_slack, class_words, word_distance, word_slack, word_words):
         full = full.withColumn(name, value)
-    return full.drop("_m", "ref_classes", "ref_common")
+    return full.drop("_classes", "_common", "ref_classes", "ref_common")

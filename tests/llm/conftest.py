@@ -11,7 +11,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def odd(spark):
     """Nulls, empty, blank and very long texts, repeated rows, and columns whose names clash with results."""
     from pyspark.sql import functions as F
-    clash = ("size", "target", "kept", "n_words", "score", "spans", "found", "n_tokens", "piece", "rank", "base", "k", "key")
+    clash = ("size", "target", "kept", "n_words", "score", "spans", "found", "n_tokens", "piece", "rank", "base", "k", "key", "classes")
     return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("own") for c in clash}).repartition(3)
 
 
