@@ -28,6 +28,7 @@ from .common import SPACES, components, runs, shingles, utf8, word_codes, word_s
 HEAVY = 1 << 17  # shingles that may count as heavy: what each task is sent is at most 2 MB
 BITS = 1 << 26  # of the filter of wanted documents, 8 MB
 BUCKET_SHINGLES = 1 << 20
+AT_ONCE = 1 << 20  # shingles that a task holds before it sends rows on
 ROUNDS, TRIALS = 3, 8  # of trying documents of a heavy list against the list's largest component
 
 
@@ -40,6 +41,19 @@ def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(shingles(word_codes(part, starts, ends), owner, b - a, width), a)
 
 
+def sets_in_parts(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
+    """The sets of a batch, some at a time: about ``AT_ONCE`` shingles, at least one set."""
+    part, held = [], 0
+    for _, s in sets_of(column, width):
+        part.append(s)
+        held += len(s)
+        if held >= AT_ONCE:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def key_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
@@ -74,13 +88,12 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 def heavy_shingles(docs: DataFrame, width: int, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The at most ``most`` most frequent shingles, as sorted (bucket, hash) marks, and their counts.
 
-    Every shingle of every document is counted. A batch sums up first and sends, by
-    bucket, those it holds once apart from those it holds more often.
+    Every shingle of every document is counted. A task sums up first what it holds and
+    sends, by bucket, those it holds once apart from those it holds more often.
     """
     def count(batches):
-        for batch in batches:
-            found = [s for _, s in sets_of(batch.column("text"), width)]
-            every, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        for found in (part for batch in batches for part in sets_in_parts(batch.column("text"), width)):
+            every, times = np.unique(np.concatenate(found), return_counts=True)
             bucket, mark = _split(every, bits)
             rows = [(b, mark[s][times[s] == 1].tobytes(), mark[s][times[s] > 1].tobytes(),
                      times[s][times[s] > 1].astype(np.uint32).tobytes()) for b, s in _by_bucket(bucket)]
@@ -133,9 +146,9 @@ def postings(docs: DataFrame, width: int, bits: int, marks: np.ndarray, df: np.n
     """
     def work(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for found in (part for batch in batches for part in sets_in_parts(batch.column("text"), width)):
             parts = []
-            for _, s in sets_of(batch.column("text"), width):
+            for s in found:
                 key = key_of(s)
                 if not len(s) or key in seen:
                     continue
