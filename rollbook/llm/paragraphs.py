@@ -25,6 +25,7 @@ from .overlap import ROUNDS, mixed_lists, trials, verify
 
 PASSAGE, WIDTH = 25, 5
 BANDS, ROWS = 16, 4
+PEELS = 2  # turns for lines that are in no bucket's largest component
 PLACES = 1 << 26  # of the filter of wanted lines, 8 MB
 _rng = np.random.Generator(np.random.PCG64(11))
 _SCALE = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -164,9 +165,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, root) of the components of similar lines, from (key, n, bands) of distinct lines.
 
-    Lines that collide in a band are compared: first with one of the band's bucket, then
-    with some of the bucket's largest component, and what is still apart with all others
-    that collide. So a bucket of near copies is joined without looking at its pairs.
+    Lines that collide in a band are compared with one of the band's bucket, then with
+    some of the bucket's largest component, several times by turns; what is still apart
+    is treated so among itself. Each turn compares a line with a bounded number of others,
+    so a bucket of near copies is joined without looking at its pairs. A pair usually
+    collides in several bands, each with its own trials.
     """
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(bands, 8 * i + 1, 8), i))")
     long = lines.select(F.col("key").alias("k"), "n", F.explode(band).alias("t"))
@@ -183,10 +186,16 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return comps
         comps = components(known().union(verify(trials(open_, turn), sets)), "a", "b")
-    open_ = mixed_lists(long, comps)
-    one, two = (open_.select("t", *(F.col(c).alias(c + x) for c in ("k", "n", "root"))) for x in "ab")
-    last = one.join(two, "t").where((F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & fits("na", "nb"))
-    return components(known().union(verify(last.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct(), sets)), "a", "b")
+    rest = mixed_lists(long, comps)
+    for turn in range(PEELS):
+        # What no trial has joined to a bucket's largest component meets among itself.
+        sizes = rest.groupBy("t", "root").agg(F.count(F.lit(1)).alias("m"))
+        hubs = sizes.groupBy("t").agg(F.max_by("root", F.struct("m", "root")).alias("hub"))
+        rest = mixed_lists(rest.join(hubs, "t").where("root != hub").drop("hub", "root"), comps)
+        if rest.isEmpty():
+            break
+        comps = components(known().union(verify(trials(rest, ROUNDS + turn), sets)), "a", "b")
+    return comps
 
 
 def repeats(docs: DataFrame) -> DataFrame:
