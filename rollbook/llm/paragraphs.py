@@ -27,6 +27,8 @@ PASSAGE, WIDTH = 25, 5
 BANDS, ROWS = 16, 4
 PEELS = 2  # turns for lines that are in no bucket's largest component
 PLACES = 1 << 26  # of the filter of wanted lines, 8 MB
+FREQUENT = 1 << 17  # shingles that are ordered by their count: what each task is sent is at most 2 MB
+TILE = 1024  # lines on a side of a comparison of a long list
 _rng = np.random.Generator(np.random.PCG64(11))
 _SCALE = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -162,14 +164,67 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
+def across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of the lines of ``open_``, of different roots, that can have a similarity of 0.75.
+
+    Shingles are put in one order, rare before frequent. Of its n a line enters the first
+    n - ceil(0.75 n) + 1 into lists. Two similar lines have ceil(3/7 (x + y)) shingles in
+    common, so they meet in as many lists as that leaves outside neither's last ones.
+    """
+    chosen = cut(sets.join(open_.select("k", "n", "root").distinct(), "k"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, times = np.unique(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(times)], names=["s", "df"])
+
+    counts = cut(chosen.select("shingles").mapInArrow(count, "s long, df long").groupBy("s").agg(F.sum("df").alias("df")).where("df > 1"))
+    level = F.floor(F.log2("df") * 8)
+    above, least = 0, 1 << 30
+    for step, n in sorted(counts.groupBy(level).count().collect(), reverse=True):
+        above += n
+        if above > FREQUENT:
+            break
+        least = step
+    table = counts.where(level >= least).orderBy("s").toArrow()
+    marks, df = table.column("s").to_numpy(), table.column("df").to_numpy()
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = []
+            for s in batch.column("shingles").to_pylist():
+                s = np.frombuffer(s, np.int64)
+                at = np.minimum(np.searchsorted(marks, s), len(marks) - 1)
+                weight = np.where(marks[at] == s, df[at], 0) if len(marks) else np.zeros(len(s), np.int64)
+                picked.append(s[np.lexsort((s, weight))[:len(s) // 4 + 1]])
+            row = pa.array(np.repeat(np.arange(len(picked)), [len(x) for x in picked]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked) if picked else np.zeros(0, np.int64)), *(
+                batch.column(c).take(row) for c in ("k", "n", "root"))], names=["s", "k", "n", "root"])
+
+    lists = cut(chosen.mapInArrow(enter, "s long, k long, n long, root long"))
+    sizes = lists.groupBy("s", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(
+        F.max_by("root", F.struct("m", "root")).alias("hub"), F.sum("m").alias("c"), F.max("m").alias("m")).where("c > m")
+    # Of two components one is not the list's largest; both sides of a long list are dealt out to tiles.
+    told = cut(lists.join(sizes.select("s", "hub", F.expr(f"(c - m) div {TILE} + 1").alias("high"), F.expr(f"c div {TILE} + 1").alias("wide")), "s"))
+    tile = lambda n: F.pmod(F.xxhash64("k"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    out = told.where("root != hub").select("s", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("root").alias("ra"), tile("high").alias("i"), every("wide").alias("j"))
+    met = told.select("s", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("hub")).alias("inner"),
+                      tile("wide").alias("j"), every("high").alias("i"))
+    pairs = out.join(met, ["s", "i", "j"]).where("ra != rb AND (inner OR ka < kb) AND 4 * na >= 3 * nb AND 4 * nb >= 3 * na")
+    must = F.ceil((3 * (F.col("na") + F.col("nb"))) / 7) - F.ceil(3 * F.greatest("na", "nb") / 4) + 1
+    return pairs.groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.first(must).alias("must")).where("c >= must").select("a", "b")
+
+
 def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, root) of the components of similar lines, from (key, n, bands) of distinct lines.
 
     Lines that collide in a band are compared with one of the band's bucket, then with
-    some of the bucket's largest component, several times by turns; what is still apart
-    is treated so among itself. Each turn compares a line with a bounded number of others,
-    so a bucket of near copies is joined without looking at its pairs. A pair usually
-    collides in several bands, each with its own trials.
+    some of a bucket's largest component, several times by turns, a line in one of its
+    buckets a turn; what is still apart is treated so among itself. That joins near copies
+    of one text without looking at their pairs. Then the lines of buckets that still hold
+    several components are compared across components, without a bound: ``across``.
     """
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(bands, 8 * i + 1, 8), i))")
     long = lines.select(F.col("key").alias("k"), "n", F.explode(band).alias("t"))
@@ -195,7 +250,10 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         if rest.isEmpty():
             break
         comps = components(known().union(verify(trials(rest, ROUNDS + turn), sets)), "a", "b")
-    return comps
+    open_ = mixed_lists(long, comps)
+    if open_.isEmpty():
+        return comps
+    return components(known().union(verify(across(open_, sets), sets)), "a", "b")
 
 
 def repeats(docs: DataFrame) -> DataFrame:

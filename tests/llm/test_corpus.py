@@ -266,6 +266,23 @@ def test_repeated_passages(spark):
             assert passage.find(dict(rows)[r.doc_id][r.start:r.end]) >= 0
 
 
+def test_small_groups_that_share_buckets(spark):
+    random.seed(12)
+    words = lambda n: ["".join(random.choices("abcdefghij", k=6)) for _ in range(n)]
+    template, rows = words(128), []
+    for i in range(100):  # the lines of a pair have a similarity of 0.78, those of two pairs one of 0.72
+        for j in range(2):
+            w = list(template)
+            w[10], w[40], w[70], w[100] = f"pair{i}", f"b{i}x{j}", f"c{i}x{j}", f"d{i}x{j}"
+            rows.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    found = paragraphs.units(docs).where("bands IS NOT NULL")
+    key = dict(rows_of(found.select("doc_id", "key")))
+    root = dict(rows_of(paragraphs.similar_lines(docs, found.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")))))
+    groups = lambda of: sorted(sorted(d for d in of if of[d] == r) for r in set(of.values()))
+    assert groups({d: root.get(k, k) for d, k in key.items()}) == groups({d: c for d, (_, c) in plain_components(list(enumerate(rows))).items()})
+
+
 def test_passages_of_small_table(spark):
     rows = texts("/root/testdata/sf0.01")
     seen, few = collections.defaultdict(set), collections.defaultdict(set)
