@@ -259,10 +259,12 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """The passages that come in two documents or more: doc_id, start, end, words, component_id, n_copies, removed.
 
-    Paragraphs and stretches that are similar or equal are one class. Overlapping ones of
-    a document are put together. component_id is the smallest doc_id of the classes in a
-    passage; ``removed`` says that it stands in an earlier document too, so that this copy
-    can go; n_copies is how often its most common class comes. start and end are code
+    Paragraphs and stretches that are similar or equal are one class. One of a class that
+    also stands in an earlier document is to go, the others are first copies. Overlapping
+    ones of a document are put together, those to go and first copies apart, so a passage
+    with ``removed`` holds nothing but what earlier documents have, and may lie in a first
+    copy. component_id is the smallest doc_id of the classes in a passage; n_copies is how
+    often its most common class comes. start and end are code
     points, end exclusive; words is the length of the longest unit in it.
 
     Null and empty texts, and texts of fewer words than a passage, have none. Rows
@@ -278,9 +280,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = whole.union(narrow.where("stretch IS NOT NULL").select("doc_id", "stretch", "start", "end", "words"))
     kinds = every.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     hit = every.join(kinds.drop("high"), "class")
-    by = Window.partitionBy("doc_id").orderBy("start", "end")
+    hit = hit.withColumn("removed", F.col("low") < F.col("doc_id"))
+    by = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") < F.col("_reach"), 0).otherwise(1)).over(by)
-    return hit.withColumn("_reach", reach).withColumn("_island", island).groupBy("doc_id", "_island").agg(
+    islands = hit.withColumn("_reach", reach).withColumn("_island", island).groupBy("doc_id", "removed", "_island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min("low").alias("component_id"),
-        F.max("n").alias("n_copies")).drop("_island").withColumn("removed", F.col("component_id") < F.col("doc_id"))
+        F.max("n").alias("n_copies"))
+    # A first copy that lies within what goes is no passage of its own.
+    gone = F.max(F.when(F.col("removed"), F.col("end"))).over(Window.partitionBy("doc_id").orderBy("start"))
+    return islands.withColumn("_gone", gone).where("removed OR _gone IS NULL OR _gone < end").select(
+        "doc_id", "start", "end", "words", "component_id", "n_copies", "removed")

@@ -283,6 +283,20 @@ def test_small_groups_that_share_buckets(spark):
     assert groups({d: root.get(k, k) for d, k in key.items()}) == groups({d: c for d, (_, c) in plain_components(list(enumerate(rows))).items()})
 
 
+def test_copies_that_share_a_passage_with_a_third(spark):
+    random.seed(13)
+    words = lambda n: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(n))
+    passage = words(60)
+    own = f"{words(80)} {passage} {words(80)}"
+    rows = {1: f"{words(40)} {passage} {words(40)}", 2: own, 3: own}
+    got = paragraphs.repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    gone = lambda d: sorted((r.start, r.end, r.component_id) for r in got if r.doc_id == d and r.removed)
+    for a, b, c in gone(2):
+        assert c == 1 and rows[2][a:b] in passage
+    assert gone(2) and [(r.start, r.end, r.component_id) for r in got if r.doc_id == 2 and not r.removed] == [(0, len(own), 2)]
+    assert [(a, b) for a, b, _ in gone(3)] == [(0, len(own))] and not gone(1)
+
+
 def test_passages_of_small_table(spark):
     rows = texts("/root/testdata/sf0.01")
     seen, few = collections.defaultdict(set), collections.defaultdict(set)
