@@ -28,6 +28,7 @@ class Rule:
     pattern: str
     core: str
     least: int = 0  # characters of the last group, or of the match where there is none
+    tail: str = ""  # what follows a match and belongs to it; it may match line breaks
 
 
 NAMES = "(?i:password|passwd|secret|token|api_?key)"
@@ -37,11 +38,16 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{14}", 18),
     Rule("hex", "[0-9a-f]+", "[0-9a-f]{16}", 16),
 )
+# A key goes to its END line; where there is none before the next BEGIN, to the end of the base64 lines that follow.
+KEY_BODY = (r"(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z ]*PRIVATE KEY-----"
+            r"|(?:[\x20\t]*[A-Za-z0-9+/]{16,}={0,2})?(?:[\x20\t\r]*\n[\x20\t]*(?:Proc-Type|DEK-Info):[^\n]*)*"
+            r"(?:(?:(?:[\x20\t\r]*\n){1,2}[\x20\t]*[A-Za-z0-9+/]{32,}={0,2}(?=[\x20\t\r]*(?:\n|\Z)))+"
+            r"(?:[\x20\t\r]*\n[\x20\t]*[A-Za-z0-9+/]{2,}={0,2}(?=[\x20\t\r]*(?:\n|\Z)))?)?")
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_"),
     Rule("slack", "xox[abprs]-[0-9A-Za-z-]{10,}", "xox[abprs]-"),
     Rule("google", "AIza[0-9A-Za-z_-]{35}", "AIza"),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN "),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN ", tail=KEY_BODY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?", "eyJ"),
 )
 
@@ -205,9 +211,10 @@ def find(column: pa.Array, rules: tuple[Rule, ...], machine: Automaton) -> list[
     """For each text its spans (start, rule, end) in code points, sorted.
 
     The automaton says which rules match in which lines; there the rule's own pattern
-    sets the ends, leftmost first and without overlap within a rule.
+    sets the ends, leftmost first and without overlap within a rule. A tail goes on from
+    there, over line breaks, in the same text.
     """
-    patterns = [re.compile(r.pattern) for r in rules]
+    patterns, tails = [re.compile(r.pattern) for r in rules], [r.tail and re.compile(r.tail) for r in rules]
     data, offsets = utf8(column)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
     for a, b in runs(offsets, 8 << 20):
@@ -225,10 +232,18 @@ def find(column: pa.Array, rules: tuple[Rule, ...], machine: Automaton) -> list[
         bits = np.zeros(len(lines), np.int64)
         np.bitwise_or.at(bits, inverse, what)
         pick = np.unique(inverse, return_index=True)[1]
+        read, whole = -1, ""
         for bit, x, y, doc in zip(bits, low[pick], high[pick], owner[pick], strict=True):
             line, shift = part[x:y].tobytes().decode(), int(points[x] - points[at[doc]])
-            out[a + doc] += [(shift + m.start(), r, shift + m.end()) for r, rule in enumerate(rules) if bit >> r & 1
-                             for m in patterns[r].finditer(line) if len(m[m.re.groups]) >= rule.least]
+            for r, rule in enumerate(rules):
+                if not bit >> r & 1:
+                    continue
+                spans = [(shift + m.start(), r, shift + m.end()) for m in patterns[r].finditer(line) if len(m[m.re.groups]) >= rule.least]
+                if rule.tail and spans:
+                    if doc != read:
+                        read, whole = doc, part[at[doc]:at[doc + 1]].tobytes().decode()
+                    spans = [(s, r, m.end() if (m := tails[r].match(whole, e)) else e) for s, r, e in spans]
+                out[a + doc] += spans
     return [sorted(x) for x in out]
 
 
