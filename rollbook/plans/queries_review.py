@@ -12,6 +12,8 @@ from ..sources import files, roll
 from .oracle_views import may_reach, ratio_ctes, round_py, sorted_tokens, with_ctes
 from .queries_linkage import pasted
 from .registry import query
+
+ROLL_LINES = 100  # at most, of a pasted text
 from .views import Views
 
 K = ["project_id", "line_number"]
@@ -426,7 +428,7 @@ def _(v):
 select roll_pos%50 packet_id, first_name||' '||last_name as name, street_address||' '||city address, zip_code zip from roll""", "roll"))
 def _(v):
     line = F.concat_ws("\t", "first_name", "last_name", "street_address", "city", F.concat(F.lit("CA "), F.col("zip_code")))
-    texts = v.roll.groupBy((F.col("roll_pos") % 50).alias("packet_id")).agg(
+    texts = v.roll.groupBy((F.col("roll_pos") % 50).alias("packet_id"), F.expr(f"roll_pos div {50 * ROLL_LINES}")).agg(
         F.concat(F.when(F.first("roll_pos") % 2 == 0, "\r\n").otherwise(""), F.array_join(F.collect_list(line), "\r\n")).alias("voter_roll_text"))
     return roll.parse_pasted_roll(texts).select("packet_id", "name", "address", "zip")
 
@@ -435,7 +437,7 @@ def _(v):
 select roll_pos%50 packet_id, first_name||' '||last_name as name, street_address address, zip_code zip from roll""", "roll"))
 def _(v):
     line = F.concat_ws(",", "zip_code", "first_name", "last_name", "street_address")
-    texts = v.roll.groupBy((F.col("roll_pos") % 50).alias("packet_id")).agg(
+    texts = v.roll.groupBy((F.col("roll_pos") % 50).alias("packet_id"), F.expr(f"roll_pos div {50 * ROLL_LINES}")).agg(
         F.concat(F.lit("Zip Code,First Name,LastName,Residence Address\n"), F.array_join(F.collect_list(line), "\n")).alias("voter_roll_text"))
     return roll.parse_pasted_roll(texts).select("packet_id", "name", "address", "zip")
 

@@ -21,3 +21,14 @@ def test_query(spark, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["s3_pasted_roll", "s3_pasted_roll_headed"])
+def test_pasted_texts_are_bounded(spark, monkeypatch, name):
+    from pyspark.sql import functions as F
+    from rollbook.sources import roll
+    seen, parse = [], roll.parse_pasted_roll
+    monkeypatch.setattr(roll, "parse_pasted_roll", lambda texts: (seen.append(texts), parse(texts))[1])
+    entry.queries()[name](spark, "/root/testdata/sf0.1")
+    longest = seen[0].agg(F.max(F.size(F.split(F.trim("voter_roll_text"), "\n")))).first()[0]
+    assert longest <= 102  # a line before the first and a header may be added
