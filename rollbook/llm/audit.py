@@ -19,90 +19,135 @@ from ..session import cut
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BLOCK_CHUNKS = 2_000_000  # (document, chunk) pairs of a block of documents
+BLOCK_CHUNKS = 3_000_000  # (document, chunk) pairs of a block of documents
+ROW_CHUNKS = 100_000  # ... and of a row of them
 BATCH = 50_000
 STRIPE = 256  # sources compared with all others at a time
 CELLS = 2_000_000  # numbers of a matrix in a task
+FACTORS = "block long, chunk string, number int, lang string, source string, sizes array<int>, chunks array<int>, counts array<int>"
 
 
-class Lists:
-    """The chunks of some documents of one source, in the order of first use."""
+class Block:
+    """Some consecutive documents of a task as numbers of chunks, and the chunks in the order of first use."""
 
-    def __init__(self):
+    def __init__(self, number: int):
+        self.number = number
         self.numbers: dict[bytes, int] = {}
-        self.ids, self.owner, self.counts, self.documents = array("q"), array("i"), array("q"), 0
-
-    def add(self, own: Counter) -> None:
-        numbers = self.numbers
-        self.ids.extend([numbers.setdefault(c, len(numbers)) for c in own])
-        self.counts.extend(own.values())
-        self.owner.extend([self.documents] * len(own))
-        self.documents += 1
-
-    def batches(self, block: int, lang: str, source: str) -> Iterator[pa.RecordBatch]:
-        ids, counts = np.frombuffer(self.ids, np.int64), np.frombuffer(self.counts, np.int64)
-        ends = np.concatenate([[0], np.bincount(ids)]).cumsum()
-        order = np.argsort(ids, kind="stable")
-        rows = pa.RecordBatch.from_arrays(
-            [pa.array(list(self.numbers), pa.binary()).cast(pa.string()),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(self.owner, np.int32)[order])),
-             pa.array(np.add.reduceat(counts[order], ends[:-1]))], ["chunk", "docs", "n"])
-        for at in range(0, len(rows), BATCH):
-            some = rows.slice(at, BATCH)
-            same = [pa.repeat(pa.scalar(x, t), len(some)) for x, t in ((block, pa.int64()), (lang, pa.string()), (source, pa.string()))]
-            yield pa.RecordBatch.from_arrays(same + some.columns, ["block", "lang", "source", *some.schema.names])
-
-
-def chunk_lists(docs: DataFrame) -> DataFrame:
-    """(block, lang, source, chunk, docs, n): the documents of a block that hold a chunk, and how often they do.
-
-    A block is some consecutive documents of a task, so a chunk has one row a block and source however frequent it is.
-    """
+        self.rows: dict[tuple[str, str], list[array]] = {}  # of each source: chunks of each document, their numbers, counts
+        self.pairs = 0
+
+    def add(self, lang: str, source: str, text: str) -> Iterator[pa.RecordBatch]:
+        """Takes a document in; gives rows that are full."""
+        if not (own := Counter(text.encode().split())):  # bytes.split() cuts at \x20 and \x09-\x0D
+            return
+        if (lang, source) not in self.rows:
+            self.rows[lang, source] = [array("i"), array("i"), array("i")]
+        numbers, (sizes, chunks, counts) = self.numbers, self.rows[lang, source]
+        sizes.append(len(own))
+        chunks.extend([numbers.setdefault(c, len(numbers)) for c in own])
+        counts.extend(own.values())
+        self.pairs += len(own)
+        if len(chunks) >= ROW_CHUNKS:
+            yield self.batch([(lang, source, *self.rows.pop((lang, source)))])
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        lists = [pa.array([np.frombuffer(r[i], np.int32) for r in rows], pa.list_(pa.int32())) for i in (2, 3, 4)]
+        return self.of(len(rows), lang=pa.array([r[0] for r in rows]), source=pa.array([r[1] for r in rows]),
+                       **dict(zip(("sizes", "chunks", "counts"), lists, strict=True)))
+
+    def of(self, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"chunk": pa.string(), "number": pa.int32(), "lang": pa.string(), "source": pa.string()}
+        found = [pa.repeat(pa.scalar(self.number, pa.int64()), size)]
+        for name in ("chunk", "number", "lang", "source", "sizes", "chunks", "counts"):
+            found.append(columns[name] if name in columns else pa.nulls(size, kinds.get(name, pa.list_(pa.int32()))))
+        return pa.RecordBatch.from_arrays(found, ["block", "chunk", "number", "lang", "source", "sizes", "chunks", "counts"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for key, row in self.rows.items():
+            yield self.batch([(*key, *row)])
+        chunks = list(self.numbers)
+        for at in range(0, len(chunks), BATCH):
+            some = pa.array(chunks[at:at + BATCH], pa.binary()).cast(pa.string())
+            yield self.of(len(some), chunk=some, number=pa.array(np.arange(at, at + len(some)), pa.int32()))
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """Documents block by block: rows with lang and source hold numbers of chunks, rows with a chunk say what a number is."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        block, pairs = TaskContext.get().partitionId() << 32, 0
-        groups: dict[tuple[str, str], Lists] = {}
+        block = Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
-                if own := Counter(text.as_py().encode().split()):  # bytes.split() cuts at \x20 and \x09-\x0D
-                    if (key := (lang.as_py(), source.as_py())) not in groups:
-                        groups[key] = Lists()
-                    groups[key].add(own)
-                    pairs += len(own)
-                if pairs >= BLOCK_CHUNKS:
-                    for key, lists in groups.items():
-                        yield from lists.batches(block, *key)
-                    groups, pairs, block = {}, 0, block + 1
-        for key, lists in groups.items():
-            yield from lists.batches(block, *key)
-
-    return docs.mapInArrow(read, "block long, lang string, source string, chunk string, docs array<int>, n long")
+            for row in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
+                yield from block.add(*(x.as_py() for x in row))
+                if block.pairs >= BLOCK_CHUNKS:
+                    yield from block.rest()
+                    block = Block(block.number + 1)
+        yield from block.rest()
+
+    return docs.mapInArrow(read, FACTORS)
+
+
+def count_block(rows: pa.Table, names: pa.Table) -> pa.Table:
+    """(lang, source, term, documents, occurrences) of a block, from its documents and the terms of its chunks."""
+    lists = names["terms"].combine_chunks()
+    terms = lists.flatten().dictionary_encode()
+    words, codes = terms.dictionary, terms.indices.to_numpy()
+    number = names["number"].to_numpy()
+    sizes = np.zeros(int(number.max(initial=-1)) + 2, np.int64)
+    sizes[number + 1] = lists.value_lengths().to_numpy()
+    # The terms of chunk number i are codes[order][starts[i]:starts[i + 1]]; chunks without any have no row.
+    order = np.argsort(np.repeat(number, sizes[number + 1]), kind="stable")
+    codes, starts = codes[order], sizes.cumsum()
+    out = []
+    by_group: dict[tuple[str, str], list[tuple[np.ndarray, ...]]] = {}
+    for i, key in enumerate(zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), strict=True)):
+        by_group.setdefault(key, []).append(tuple(rows[c][i].values.to_numpy() for c in ("sizes", "chunks", "counts")))
+    for (lang, source), parts in by_group.items():
+        documents, chunks, counts = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+        owner = np.repeat(np.arange(len(documents)), documents)
+        known = chunks < len(starts) - 1
+        owner, chunks, counts = owner[known], chunks[known], counts[known]
+        size = starts[chunks + 1] - starts[chunks]
+        at = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size) + np.repeat(starts[chunks], size)
+        found, owner = codes[at].astype(np.int64), np.repeat(owner, size)
+        occurrences = np.zeros(len(words), np.int64)
+        np.add.at(occurrences, found, np.repeat(counts, size))
+        once = np.bincount(np.unique(owner * len(words) + found) % max(1, len(words)), minlength=len(words))
+        here = np.flatnonzero(once)
+        out.append(pa.table({"lang": pa.repeat(pa.scalar(lang), len(here)), "source": pa.repeat(pa.scalar(source), len(here)),
+                             "term": words.take(pa.array(here)), "documents": pa.array(once[here]), "occurrences": pa.array(occurrences[here])}))
+    return pa.concat_tables(out)
 
 
 def term_counts(docs: DataFrame, blocks: int = 32) -> DataFrame:
     """(lang, source, term, documents, occurrences) of all texts.
 
-    Each distinct chunk is taken apart once. Its rows meet its terms by chunk and part, a part being about ``blocks``
-    blocks, so a chunk that stands everywhere is spread as well. Then the lists of a term within a block are united.
+    Each distinct chunk is taken apart once; its terms are joined to the blocks where it stands, and every block counts
+    the documents and occurrences of its terms. A chunk's blocks meet its terms by chunk and part, a part being about
+    ``blocks`` blocks, so a chunk that stands everywhere is spread as well.
     """
-    lists = cut(chunk_lists(docs))
-    parts = -(-(lists.agg(F.count_distinct("block")).first()[0] or 1) // blocks)
-    lists = lists.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    rows = cut(factors(docs))
+    stands = rows.where(F.col("chunk").isNotNull()).select("block", "chunk", "number")
+    parts = -(-(rows.agg(F.count_distinct("block")).first()[0] or 1) // blocks)
+    stands = stands.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
     lower = F.translate("chunk", UPPER, UPPER.lower())
-    known = lists.groupBy("chunk").agg(F.collect_set("part").alias("parts")).select(
+    known = stands.groupBy("chunk").agg(F.collect_set("part").alias("parts")).select(
         "chunk", "parts", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
-    known = known.select("chunk", "parts", "terms", F.explode(F.array_distinct("terms")).alias("term")).select(
-        "chunk", "term", (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).alias("times"),
-        F.explode("parts").alias("part"))
-    held = lists.join(known, ["chunk", "part"]).groupBy("block", "lang", "source", "term").agg(
-        F.sum(F.col("n") * F.col("times")).alias("occurrences"),
-        F.when(F.count(F.lit(1)) == 1, F.max(F.size("docs")))
-        .otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("docs"))))).alias("documents"))
-    return held.groupBy("lang", "source", "term").agg(
+    known = known.where(F.size("terms") > 0).select("chunk", "terms", F.explode("parts").alias("part"))
+    names = stands.join(known, ["chunk", "part"]).select(F.col("block").alias("of"), "number", "terms")
+    held = rows.where(F.col("chunk").isNull()).select("block", "lang", "source", "sizes", "chunks", "counts")
+    counted = held.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(
+        lambda a, b: count_block(a, b) if a.num_rows and b.num_rows else EMPTY,
+        "lang string, source string, term string, documents long, occurrences long")
+    return counted.groupBy("lang", "source", "term").agg(
         F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))
 
 
+EMPTY = pa.table({"lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "term": pa.array([], pa.string()),
+                  "documents": pa.array([], pa.int64()), "occurrences": pa.array([], pa.int64())})
+
+
 def share(count: str, total: str, terms: str) -> Column:
     """1 + floor(1e9 * (count + 5) / (total + 5 * terms)), exact at any size."""
     whole = "CAST({} AS DECIMAL(27, 0))".format
