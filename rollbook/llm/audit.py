@@ -6,12 +6,14 @@ distinct chunk of the corpus and joined back to where the chunk stands.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ ROW_CHUNKS = 100_000  # ... and of a row of them
 BATCH = 50_000
 STRIPE = 256  # sources compared with all others at a time
 CELLS = 2_000_000  # numbers of a matrix in a task
+HELD = 2_000_000  # counts held at once besides the sums
+COUNTS = ["lang", "source", "term", "documents", "occurrences"]
 FACTORS = "block long, chunk string, number int, lang string, source string, sizes array<int>, chunks array<int>, counts array<int>"
 
 
@@ -90,15 +94,14 @@ def factors(docs: DataFrame) -> DataFrame:
 
 def count_block(rows: pa.Table, names: pa.Table) -> pa.Table:
     """(lang, source, term, documents, occurrences) of a block, from its documents and the terms of its chunks."""
-    lists = names["terms"].combine_chunks()
+    lists = pc.split_pattern(names["terms"].combine_chunks(), " ")
     terms = lists.flatten().dictionary_encode()
     words, codes = terms.dictionary, terms.indices.to_numpy()
     number = names["number"].to_numpy()
     sizes = np.zeros(int(number.max(initial=-1)) + 2, np.int64)
     sizes[number + 1] = lists.value_lengths().to_numpy()
-    # The terms of chunk number i are codes[order][starts[i]:starts[i + 1]]; chunks without any have no row.
-    order = np.argsort(np.repeat(number, sizes[number + 1]), kind="stable")
-    codes, starts = codes[order], sizes.cumsum()
+    # The terms of chunk number i are codes[starts[i]:starts[i + 1]]; chunks without any have no row.
+    codes, starts = codes[np.argsort(np.repeat(number, sizes[number + 1]), kind="stable")], sizes.cumsum()
     out = []
     by_group: dict[tuple[str, str], list[tuple[np.ndarray, ...]]] = {}
     for i, key in enumerate(zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), strict=True)):
@@ -120,32 +123,88 @@ def count_block(rows: pa.Table, names: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def term_counts(docs: DataFrame, blocks: int = 32) -> DataFrame:
+def packed(counts: pa.Table, buckets: int) -> pa.Table:
+    """(bucket, part): the rows of each bucket of terms, by term, as a compressed Arrow stream."""
+    words = counts["term"].combine_chunks().dictionary_encode()
+    of_word = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+    bucket = of_word[words.indices.to_numpy()]
+    order = np.lexsort((pc.rank(words.dictionary).to_numpy()[words.indices.to_numpy()], bucket))
+    counts, bucket = counts.take(pa.array(order)), bucket[order]
+    ends = np.searchsorted(bucket, np.arange(buckets + 1))
+    found, parts = [], []
+    for i in np.flatnonzero(np.diff(ends)):
+        some = counts.slice(ends[i], ends[i + 1] - ends[i]).combine_chunks()
+        for c in ("lang", "source", "term"):
+            some = some.set_column(some.schema.get_field_index(c), c, some[c].dictionary_encode())
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(some)
+        found.append(int(i))
+        parts.append(sink.getvalue().to_pybytes())
+    return pa.table({"bucket": pa.array(found, pa.int32()), "part": pa.array(parts, pa.binary())})
+
+
+def summed(parts: Iterator[pa.Table]) -> pa.Table:
+    """One row for each (lang, source, term): the sums over all parts, added up in turns so that few are held at once."""
+    held: list[pa.Table] = []
+    total = 0
+
+    def add() -> pa.Table:
+        every = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("documents", "sum"), ("occurrences", "sum")])
+        return every.rename_columns({"documents_sum": "documents", "occurrences_sum": "occurrences"}).select(COUNTS)
+
+    for part in parts:
+        held.append(part)
+        total += part.num_rows
+        if len(held) > 1 and total > max(2 * held[0].num_rows, HELD):
+            held = [add()]
+            total = held[0].num_rows
+    return add()
+
+
+def term_counts(docs: DataFrame, blocks: int = 1024, chunks: int = 250_000) -> DataFrame:
     """(lang, source, term, documents, occurrences) of all texts.
 
     Each distinct chunk is taken apart once; its terms are joined to the blocks where it stands, and every block counts
     the documents and occurrences of its terms. A chunk's blocks meet its terms by chunk and part, a part being about
-    ``blocks`` blocks, so a chunk that stands everywhere is spread as well.
+    ``blocks`` blocks, so a chunk that stands everywhere is spread as well. Counts leave their block packed, by buckets
+    of terms, of which there is one for ``chunks`` distinct chunks; a bucket adds its parts up as they come.
     """
     rows = cut(factors(docs))
     stands = rows.where(F.col("chunk").isNotNull()).select("block", "chunk", "number")
     parts = -(-(rows.agg(F.count_distinct("block")).first()[0] or 1) // blocks)
-    stands = stands.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    lower = F.translate("chunk", UPPER, UPPER.lower())
-    known = stands.groupBy("chunk").agg(F.collect_set("part").alias("parts")).select(
-        "chunk", "parts", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
-    known = known.where(F.size("terms") > 0).select("chunk", "terms", F.explode("parts").alias("part"))
-    names = stands.join(known, ["chunk", "part"]).select(F.col("block").alias("of"), "number", "terms")
+    keys = ["chunk"]
+    if parts > 1:
+        keys, stands = ["chunk", "part"], stands.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    stands = stands.repartition(*keys)
+    # The same columns as the other side of the join, so that both read one shuffle.
+    known = stands.groupBy(*keys).agg(F.max("block").alias("block"), F.max("number").alias("number")).where("block >= 0 and number >= 0")
+    if parts > 1:
+        known = known.groupBy("chunk").agg(F.collect_set("part").alias("parts"))
+    terms = F.array_join(F.regexp_extract_all(F.translate("chunk", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0)), " ")
+    known = known.select("chunk", terms.alias("terms"), *(["parts"] if parts > 1 else [])).where("terms != ''")
+    if parts > 1:
+        known = known.select("chunk", "terms", F.explode("parts").alias("part"))
+    names = stands.join(known, keys).select(F.col("block").alias("of"), "number", "terms")
     held = rows.where(F.col("chunk").isNull()).select("block", "lang", "source", "sizes", "chunks", "counts")
-    counted = held.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(
-        lambda a, b: count_block(a, b) if a.num_rows and b.num_rows else EMPTY,
-        "lang string, source string, term string, documents long, occurrences long")
-    return counted.groupBy("lang", "source", "term").agg(
-        F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))
+    buckets = 1 + (rows.agg(F.approx_count_distinct("chunk")).first()[0] or 0) // chunks
 
+    def count(rows: pa.Table, names: pa.Table) -> pa.Table:
+        if rows.num_rows and names.num_rows:
+            return packed(count_block(rows, names), buckets)
+        return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.binary())})
 
-EMPTY = pa.table({"lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "term": pa.array([], pa.string()),
-                  "documents": pa.array([], pa.int64()), "occurrences": pa.array([], pa.int64())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tables() -> Iterator[pa.Table]:
+            for batch in batches:
+                for part in batch.column("part"):
+                    table = pa.ipc.open_stream(part.as_buffer()).read_all()
+                    yield table.cast(pa.schema([(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(COUNTS)]))
+
+        yield from summed(tables()).to_batches(BATCH)
+
+    counted = held.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(count, "bucket int, part binary")
+    return counted.groupBy("bucket").applyInArrow(add, "lang string, source string, term string, documents long, occurrences long")
 
 
 def share(count: str, total: str, terms: str) -> Column:

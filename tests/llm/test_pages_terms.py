@@ -259,8 +259,8 @@ def audited(docs, **how):
     return Counter(tuple(r) for r in audit.audit(docs, **how).select("lang", "source", "part", "item", "value", "rank").collect())
 
 
-@pytest.mark.parametrize("stripe", [2, 256])
-def test_audit_against_plain(spark, monkeypatch, stripe):
+@pytest.mark.parametrize(("stripe", "spread"), [(2, (1, 5)), (256, (1024, 10**6))])
+def test_audit_against_plain(spark, monkeypatch, stripe, spread):
     """Small blocks, several stripes, terms that stand in several chunks of a document and several times in one."""
     monkeypatch.setattr(audit, "BLOCK_CHUNKS", 60)
     monkeypatch.setattr(audit, "STRIPE", stripe)
@@ -271,7 +271,9 @@ def test_audit_against_plain(spark, monkeypatch, stripe):
              rng.choice([" ", "\n", "\t \x0b"]).join(rng.choices(words, k=rng.randint(0, 12)))) for _ in range(200)]
     docs += [("xx", "few", "seldom words"), ("xx", "none", None), ("yy", "alone", "")]
     df = spark.createDataFrame(docs, "lang string, source string, text string").repartition(3)
-    monkeypatch.setattr(audit.term_counts, "__defaults__", (1,))
+    monkeypatch.setattr(audit.term_counts, "__defaults__", spread)
+    monkeypatch.setattr(audit, "ROW_CHUNKS", 7)
+    monkeypatch.setattr(audit, "HELD", 10)
     assert audited(df, least=8, top=3) == plain_audit(docs, 8, 3)
 
 
