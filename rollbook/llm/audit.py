@@ -28,7 +28,17 @@ STRIPE = 256  # sources compared with all others at a time
 CELLS = 2_000_000  # numbers of a matrix in a task
 HELD = 2_000_000  # counts held at once besides the sums
 COUNTS = ["lang", "source", "term", "documents", "occurrences"]
-FACTORS = "block long, chunk string, number int, lang string, source string, sizes array<int>, chunks array<int>, counts array<int>"
+FACTORS = "block long, chunk string, number int, lang string, source string, sizes binary, chunks binary, counts binary"
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Small integers, compressed."""
+    return pa.compress(numbers.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def stretched(data: bytes) -> np.ndarray:
+    with pa.input_stream(pa.BufferReader(data), compression="zstd") as stream:
+        return np.frombuffer(stream.read(), np.int32).astype(np.int64)
 
 
 class Block:
@@ -55,15 +65,24 @@ class Block:
             yield self.batch([(lang, source, *self.rows.pop((lang, source)))])
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        lists = [pa.array([np.frombuffer(r[i], np.int32) for r in rows], pa.list_(pa.int32())) for i in (2, 3, 4)]
-        return self.of(len(rows), lang=pa.array([r[0] for r in rows]), source=pa.array([r[1] for r in rows]),
-                       **dict(zip(("sizes", "chunks", "counts"), lists, strict=True)))
+        """Rows with their chunks in order within a document, each as the step from the one before."""
+        found: list[list[bytes]] = [[], [], []]
+        for r in rows:
+            sizes, chunks, counts = (np.frombuffer(x, np.int32) for x in r[2:])
+            order = np.lexsort((chunks, np.repeat(np.arange(len(sizes)), sizes)))
+            steps = np.diff(chunks[order], prepend=0)
+            firsts = sizes.cumsum()[:-1]
+            steps[firsts] = chunks[order][firsts]
+            for own, x in zip(found, (sizes, steps, counts[order]), strict=True):
+                own.append(squeezed(x))
+        lists = dict(zip(("sizes", "chunks", "counts"), (pa.array(x, pa.binary()) for x in found), strict=True))
+        return self.of(len(rows), lang=pa.array([r[0] for r in rows]), source=pa.array([r[1] for r in rows]), **lists)
 
     def of(self, size: int, **columns: pa.Array) -> pa.RecordBatch:
         kinds = {"chunk": pa.string(), "number": pa.int32(), "lang": pa.string(), "source": pa.string()}
         found = [pa.repeat(pa.scalar(self.number, pa.int64()), size)]
         for name in ("chunk", "number", "lang", "source", "sizes", "chunks", "counts"):
-            found.append(columns[name] if name in columns else pa.nulls(size, kinds.get(name, pa.list_(pa.int32()))))
+            found.append(columns[name] if name in columns else pa.nulls(size, kinds.get(name, pa.binary())))
         return pa.RecordBatch.from_arrays(found, ["block", "chunk", "number", "lang", "source", "sizes", "chunks", "counts"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -75,6 +94,14 @@ class Block:
             yield self.of(len(some), chunk=some, number=pa.array(np.arange(at, at + len(some)), pa.int32()))
 
 
+def documents_of(sizes: bytes, steps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sizes, chunks and counts that ``Block.batch`` has written."""
+    found, chunks = stretched(sizes), stretched(steps).cumsum()
+    firsts = np.concatenate([[0], found.cumsum()[:-1]])
+    before = np.where(firsts > 0, chunks[firsts - 1], 0)
+    return found, chunks - np.repeat(before, found), stretched(counts)
+
+
 def factors(docs: DataFrame) -> DataFrame:
     """Documents block by block: rows with lang and source hold numbers of chunks, rows with a chunk say what a number is."""
 
@@ -105,9 +132,9 @@ def count_block(rows: pa.Table, names: pa.Table) -> pa.Table:
     out = []
     by_group: dict[tuple[str, str], list[tuple[np.ndarray, ...]]] = {}
     for i, key in enumerate(zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), strict=True)):
-        by_group.setdefault(key, []).append(tuple(rows[c][i].values.to_numpy() for c in ("sizes", "chunks", "counts")))
+        by_group.setdefault(key, []).append(documents_of(*(rows[c][i].as_py() for c in ("sizes", "chunks", "counts"))))
     for (lang, source), parts in by_group.items():
-        documents, chunks, counts = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+        documents, chunks, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         owner = np.repeat(np.arange(len(documents)), documents)
         known = chunks < len(starts) - 1
         owner, chunks, counts = owner[known], chunks[known], counts[known]
