@@ -286,11 +286,14 @@ def _(v):
 
 
 @query("j5_continuation_split", with_ctes("""
-select r.project_id, o.project_id original_id, r.line_number, not (o.raw_name<>'' or o.raw_address<>'') is_new
-from rescans r join lines o on o.project_id+1000000=r.project_id and o.line_number=r.line_number""", "rescans"))
+select f.project_id, f.original_id, r.line_number, not coalesce(o.raw_name<>'' or o.raw_address<>'', false) is_new
+from found f join rescans r using (project_id) left join lines o on o.project_id=f.original_id and o.line_number=r.line_number
+where r.raw_name<>'' or r.raw_address<>''""", "rescans", "rescan_sheets", extra=SHEETS))
 def _(v):
-    found = v.rescan_sheets.select("project_id", (F.col("project_id") - 1000000).alias("original_id"))
-    return resheet.split_continuation(found, v.rescans, v.lines).select("project_id", "original_id", "line_number", "is_new")
+    lines = cut(v.lines.select("project_id", "line_number", "raw_name", "raw_address"))
+    rescans = cut(v.rescans)
+    found = resheet.find_same_sheet(v.rescan_sheets, rescans, v.projects, lines)
+    return resheet.split_continuation(found, rescans, lines).select("project_id", "original_id", "line_number", "is_new")
 
 
 BITS = """bit_count(xor(('0x'||substr(a.fp,1,8))::bigint,('0x'||substr(b.fp,1,8))::bigint))+bit_count(xor(('0x'||substr(a.fp,9,8))::bigint,('0x'||substr(b.fp,9,8))::bigint))"""
@@ -321,6 +324,10 @@ def _(v):
     return resheet.version_rows(rows, resheet.earlier_rows(pages, rows)).select("packet_id", "line_no", "best_score", "row_status")
 
 
-@query("p11_comparable_sheets", with_ctes("select new_id, old_id from sp", "rescan_sheets", extra={"sp": SHEETS["sp"]}))
+@query("p11_comparable_sheets", with_ctes("""
+select lower(a.cause) new_cause, lower(a.county) new_county, lower(b.cause) old_cause, lower(b.county) old_county,
+  count(distinct a.project_id) new_sheets, count(distinct b.project_id) old_sheets
+from rescan_sheets a join projects b on (a.cause='' or b.cause='' or lower(a.cause)=lower(b.cause))
+  and (a.county='' or b.county='' or lower(a.county)=lower(b.county)) group by 1,2,3,4""", "rescan_sheets"))
 def _(v):
-    return resheet.comparable_sheets(v.rescan_sheets, v.projects).select("new_id", "old_id")
+    return resheet.comparable_classes(v.rescan_sheets, v.projects)
