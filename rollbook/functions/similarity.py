@@ -7,14 +7,13 @@ Arrow batches with 64-bit words (Python integers beyond 64 characters).
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sequences import ratios
 from .text import words
 
 
@@ -126,20 +125,17 @@ def may_reach(a: Column, b: Column, threshold: int) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    memo: dict[tuple[str, str], float] = {}
-
-    def score(x, y):
-        if x is None or y is None:
-            return None
-        if (x, y) not in memo:
-            memo[x, y] = difflib.SequenceMatcher(None, x, y).ratio()
-        return memo[x, y]
-
-    return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    if known.any():
+        pairs = pd.DataFrame({"a": a[known], "b": b[known]})
+        at, distinct = pairs.groupby(["a", "b"], sort=False).ngroup().to_numpy(), pairs.drop_duplicates()
+        out[known] = ratios(distinct["a"].tolist(), distinct["b"].tolist())[at]
+    return pd.Series(out).where(pd.Series(known), None)
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Matching-blocks ratio 0..1 of the standard library; argument order matters."""
+    """Matching-blocks ratio 0..1 (see ``sequences``); argument order matters."""
     return _sequence_ratio(a, b)
 
 

@@ -200,3 +200,74 @@ def round_py(x: str, digits: int = 0) -> str:
 
 
 HOURS = "(epoch_us(clock_out)-epoch_us(clock_in))"
+
+
+def sequence_ctes(name: str, pairs: str) -> dict[str, str]:
+    """CTEs ending in ``name``(a, b, ratio): the matching-blocks ratio of the distinct (a, b) of CTE ``pairs``.
+
+    Texts of under 200 characters. A cell is a pair of equal characters with the length of the equal run that ends
+    there; a stretch takes its longest run, cut at its edges, and opens one stretch before and one behind it.
+    """
+    return {
+        f"{name}_p": f"select a, b, row_number() over () p from (select distinct a, b from {pairs} where a<>'' and b<>'') q",
+        f"{name}_l": f"select p, unnest(string_split(a,'')) ch, unnest(range(length(a))) i from {name}_p",
+        f"{name}_r": f"select p, unnest(string_split(b,'')) ch, unnest(range(length(b))) j from {name}_p",
+        f"{name}_c": f"""select p, i, j, row_number() over (partition by p, i-j, island order by i) run from (
+            select l.p, i, j, i - row_number() over (partition by l.p, i-j order by i) island
+            from {name}_l l join {name}_r r on l.p=r.p and l.ch=r.ch) q""",
+        f"{name}_s": f"""select * from (with recursive open(p, alo, ahi, blo, bhi, gained) as (
+            select p, 0::bigint, length(a)::bigint, 0::bigint, length(b)::bigint, 0::bigint from {name}_p
+            union all
+            select p, unnest([alo, i+1]), unnest([i+1-k, ahi]), unnest([blo, j+1]), unnest([j+1-k, bhi]), unnest([k, 0])
+            from (select p, alo, ahi, blo, bhi, -best.k k, best.i i, best.j j
+                  from (select o.p, alo, ahi, blo, bhi, min({{'k': -least(run, i-alo+1, j-blo+1), 'i': i, 'j': j}}) best
+                        from open o join {name}_c c on c.p=o.p and i>=alo and i<ahi and j>=blo and j<bhi group by o.p, alo, ahi, blo, bhi) v) w)
+            select p, sum(gained) m from open group by p)""",
+        name: f"""select a, b, case when length(a)+length(b)=0 then 1.0::double
+            else 2.0::double*coalesce(m,0)/(length(a)+length(b)) end ratio
+            from (select distinct a, b from {pairs}) d left join {name}_p using (a, b) left join {name}_s using (p)""",
+    }
+
+
+def expanded(x: str) -> str:
+    """Upper case, punctuation to blanks, street types spelled out."""
+    from ..functions.text import STREET_LONG
+    out = f"regexp_replace(trim(upper({x})), '[^\\w\\s]', ' ', 'g')"
+    for short, long in STREET_LONG.items():
+        if short != long:
+            out = f"regexp_replace({out}, '\\b{short}\\b', '{long}', 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+def packet_ctes(weights: tuple[float, float, float], k: int) -> dict[str, str]:
+    """CTEs ending in ``found``: the k best pasted entries of every distinct (name, address, zip) of named packet rows.
+
+    Names are scored for all distinct pairs. A Levenshtein bound on addresses gives k entries whose exact score is a
+    floor; addresses are scored where the bound reaches it.
+    """
+    wn, wa, wz = (f"{w}::double" for w in weights)
+    zip5 = "substr(trim(raw_zip),1,5)" if weights[2] else "''"
+    whole = lambda place: f"(ns*{wn}+{place}*{wa})+(case when az<>'' and az=pz then 1.0::double else 0.0::double end)*{wz}"
+    return {
+        "asked_rows": f"""select packet_id, line_no, {expanded('raw_name')} an, {expanded('raw_address')} aa, {zip5} az
+            from packet_lines where row_status<>'blank' and raw_name<>''""",
+        "asked": "select *, row_number() over () q from (select distinct an, aa, az from asked_rows) d",
+        "pool": f"""select roll_pos pos, first_name||' '||last_name pname, street_address||' '||city paddress, {expanded("first_name||' '||last_name")} pn,
+            {expanded("street_address||' '||city")} pa, zip_code pz from roll""",
+        "name_pairs": "select a, b from (select distinct an a from asked) x, (select distinct pn b from pool) y",
+        **sequence_ctes("nr", "name_pairs"),
+        "bounds": """select a, b, case when a='' or b='' then 0.0::double else 1.0::double-levenshtein(a,b)/(length(a)+length(b))::double end ub
+            from (select distinct aa a from asked) x, (select distinct pa b from pool) y""",
+        "capped": f"""select q, pos, aa, pa, az, pz, ns, {whole('ub')} cap from (select q, pos, aa, pa, az, pz, nr.ratio ns, ub
+            from asked join nr on nr.a=an join pool on pn=nr.b join bounds on bounds.a=aa and bounds.b=pa) c""",
+        "probes": f"select * from capped qualify row_number() over (partition by q order by cap desc, pos)<={k}",
+        "probe_pairs": "select distinct aa a, pa b from probes",
+        **sequence_ctes("pr", "probe_pairs"),
+        "floors": f"select q, min({whole('case when aa=' + chr(39) * 2 + ' then 0.0::double else ratio end')}) low from probes join pr on pr.a=aa and pr.b=pa group by q",
+        "reaching": "select c.* from capped c join floors using (q) where cap>=low-1e-9",
+        "place_pairs": "select distinct aa a, pa b from reaching",
+        **sequence_ctes("ar", "place_pairs"),
+        "found": f"""select q, pos, score, row_number() over (partition by q order by score desc, pos) rn
+            from (select q, pos, {whole('case when aa=' + chr(39) * 2 + ' then 0.0::double else ratio end')} score
+                  from reaching join ar on ar.a=aa and ar.b=pa) s qualify rn<={k}""",
+    }

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import linkage, resheet, similar, workforce
 from ..session import cut
-from .oracle_views import may_reach, ratio_ctes, round_py, sorted_tokens, with_ctes
+from .oracle_views import expanded, may_reach, packet_ctes, ratio_ctes, round_py, sequence_ctes, sorted_tokens, with_ctes
 from .registry import query
 from .views import Views
 
@@ -76,7 +76,10 @@ def _(v):
         "project_id", "line_number", sim.token_sort_ratio(F.lower("raw_name"), F.col("who")).alias("ratio"))
 
 
-@query("f12_sequence_ratio")
+@query("f12_sequence_ratio", with_ctes("""
+select project_id, line_number, ratio from said join sr on sr.a=said.a and sr.b=said.b""", "lines", "roll", extra={
+    "said": f"""select project_id, line_number, {expanded('raw_name')} a, {expanded("first_name||' '||last_name")} b
+        from lines join roll on voter_id=true_voter_id""", **sequence_ctes("sr", "said")}))
 def _(v):
     r = v.roll.select(F.col("voter_id").alias("true_voter_id"), F.concat_ws(" ", "first_name", "last_name").alias("who"))
     return v.lines.join(r, "true_voter_id").select(
@@ -248,12 +251,20 @@ def _(v):
     return workforce.sheet_summary(verified(v))
 
 
-@query("j2_packet_match")
+@query("j2_packet_match", with_ctes("""
+select packet_id, line_no, case when conf>=72 then 'valid' when conf>=45 then 'uncertain' else 'invalid' end voter_status, conf voter_confidence,
+  case when conf>=72 then 'Matched: '||shown when conf>=45 then 'Partial match ('||conf||'%): '||shown else 'No voter roll match found' end voter_reason
+from (select packet_id, line_no, coalesce(cast(trunc(case when score>0 then score end*100) as int),0) conf,
+        coalesce(case when score>0 then pname||' — '||paddress end,'none') shown
+      from asked_rows join asked using (an, aa, az) left join found using (q) left join pool using (pos)) w""",
+    "packet_lines", "roll", extra=packet_ctes(linkage.PACKET_WEIGHTS, 1)))
 def _(v):
     return linkage.packet_match(v.packet_lines, pasted(v)).select("packet_id", "line_no", "voter_status", "voter_confidence", "voter_reason")
 
 
-@query("j3_packet_candidates")
+@query("j3_packet_candidates", with_ctes("""
+select packet_id, line_no, cast(rn as int) as rank, pos, score from asked_rows join asked using (an, aa, az) join found using (q)""",
+    "packet_lines", "roll", extra=packet_ctes(linkage.CANDIDATE_WEIGHTS, 5)))
 def _(v):
     return linkage.packet_candidates(v.packet_lines, pasted(v)).select("packet_id", "line_no", "rank", "pos", "score")
 

@@ -9,7 +9,7 @@ from ..functions import values as vl
 from ..operators import linkage, packet_rules, quality, sheet_rules, tables
 from ..session import cut
 from ..sources import files, roll
-from .oracle_views import may_reach, ratio_ctes, round_py, sorted_tokens, with_ctes
+from .oracle_views import may_reach, ratio_ctes, round_py, sequence_ctes, sorted_tokens, with_ctes
 from .queries_linkage import pasted
 from .registry import query
 
@@ -196,16 +196,18 @@ def _(v):
     return packet_rules.uniform_dates(v.packet_lines.withColumn("raw_date", stamped)).select(*PK)
 
 
-@query("k7_similar_names")
-def _(v):
-    return packet_rules.similar_names(v.packet_lines).select(*PK)
+NAMESAKES = {
+    "who": "select packet_id, line_no, upper(case when norm_name<>'' then norm_name else raw_name end) who from packet_lines where row_status<>'blank' and raw_name<>''",
+    "met": f"""select i.packet_id, i.line_no li, j.line_no lj, i.who a, j.who b from who i join who j on i.packet_id=j.packet_id and i.line_no<j.line_no
+        and (i.who=j.who or {may_reach('i.who', 'j.who', 88)})""",
+    **sequence_ctes("wr", "met"),
+    "namesakes": "select distinct packet_id, unnest([li, lj]) line_no from met join wr using (a, b) where ratio>=0.88::double",
+}
 
 
-@query("k8_packet_scores")
+@query("k7_similar_names", with_ctes("select packet_id, line_no from namesakes", "packet_lines", extra=NAMESAKES))
 def _(v):
-    lines = cut(v.packet_lines)
-    out = packet_rules.score_packets(lines, packet_rules.packet_flags(lines, counties(v), v.county_cities))
-    return out.select(*PK, F.array_join("fraud_flags", "|").alias("fraud_flags"), "fraud_score")
+    return packet_rules.similar_names(v.packet_lines).select(*PK)
 
 
 POINTED = """select packet_id, line_no, 'no_signature' flag, 30 points from packet_lines where row_status='new_signature' and not has_signature
@@ -215,6 +217,26 @@ POINTED = """select packet_id, line_no, 'no_signature' flag, 30 points from pack
   union all select packet_id, line_no, 'consecutive_addresses', 40 from chain"""
 
 
+RUNS = """select packet_id, line_no from (select *, count(*) over (partition by packet_id, grp, city) n from
+  (select *, row_number() over (partition by packet_id order by line_no)-row_number() over (partition by packet_id, city order by line_no) grp from
+    (select packet_id, line_no, lower(trim(raw_city)) city from packet_lines where row_status<>'blank' and raw_name<>'') a) b) c where n>=5"""
+DATED = """select packet_id, line_no from d join (select *, sum(n) over (partition by packet_id) tot from (select packet_id, raw_date, count(*) n from d group by 1,2) a) g
+  using (packet_id, raw_date) where tot>=4 and n/cast(tot as double)>=0.7"""
+
+
+@query("k8_packet_scores", with_ctes("""
+select packet_id, line_no, coalesce(fraud_flags,'') fraud_flags, least(100, coalesce(points,0))::int fraud_score from packet_lines left join
+  (select packet_id, line_no, string_agg(flag,'|' order by flag) fraud_flags, sum(points) points from pts group by 1,2) q using (packet_id, line_no)""",
+    "packet_lines", "projects", "county_cities", extra={"chain": CHAIN, **NAMESAKES, "runs": RUNS,
+    "d": "select packet_id, line_no, raw_date from packet_lines where row_status<>'blank' and raw_name<>'' and raw_date<>''", "dated": DATED,
+    "pts": POINTED + """ union all select packet_id, line_no, 'long_city_run', 20 from runs union all select packet_id, line_no, 'similar_name', 35 from namesakes
+      union all select packet_id, line_no, 'uniform_date', 15 from dated"""}))
+def _(v):
+    lines = cut(v.packet_lines)
+    out = packet_rules.score_packets(lines, packet_rules.packet_flags(lines, counties(v), v.county_cities))
+    return out.select(*PK, F.array_join("fraud_flags", "|").alias("fraud_flags"), "fraud_score")
+
+
 @query("k8_scores_of_native_rules", with_ctes("""
 select packet_id, line_no, coalesce(fraud_flags,'') fraud_flags, least(100, coalesce(points,0))::int fraud_score from packet_lines left join
   (select packet_id, line_no, string_agg(flag,'|' order by flag) fraud_flags, sum(points) points from pts group by 1,2) q using (packet_id, line_no)""",

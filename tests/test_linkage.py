@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions.similarity import PairScorer
@@ -141,3 +142,19 @@ def test_status_policy(spark):
              (20.0, True, None, "rejected"), (99.0, True, 1, "duplicate")]
     df = spark.createDataFrame(cases, "c double, s boolean, d int, want string")
     assert df.where(linkage.classify(F.col("c"), F.col("s"), F.col("d")) != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("n", [6, 30, 450])
+def test_sequence_ratios(n):
+    """Against the standard library: pairs with edits, none in common, empty, and long ones with frequent characters."""
+    from rollbook.functions.sequences import ratios
+    r = random.Random(n)
+    pairs = [("", ""), ("", "a"), ("a" * n, "a" * n)]
+    for alphabet in ("ab", "abcde ", "abcdefghijklmnopqrstuvwxyz é𝄞"):
+        for _ in range(60):
+            a = "".join(r.choices(alphabet, k=r.randint(0, n)))
+            b = list(a) if r.random() < 0.5 else r.choices(alphabet, k=r.randint(0, n))
+            for _ in range(r.randint(0, 6) if b else 0):
+                b[r.randrange(len(b))] = r.choice(alphabet + "x")
+            pairs.append((a, "".join(b)))
+    assert ratios(*map(list, zip(*pairs))).tolist() == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
