@@ -177,8 +177,13 @@ select doc_id, label_seq, coalesce(trim(value),'') "value" from (select doc_id,
     "w": r"""select *, lft+width as r, top+height//2 cy, top+height bottom, regexp_matches(text,'(?i)^date:?$') is_label,
        regexp_matches(trim(text,':'),'(?i)^(print|name|residence|address|city|state|zip|date|signature|only|res\.?)$') is_word from (
        select * replace (case seq%12 when 0 then cast((seq//12)%7+1 as varchar) when 1 then 'Print' when 2 then 'Name:' when 7 then 'Date:' else text end as text, top*6 as top) from ocr_words) z""",
-    "near": """select * from (select l.doc_id, l.seq label_seq, x.seq, x.text, x.lft, x.top, abs(x.cy-l.cy)<=20 and x.lft>l.r+5 beside, x.top>l.bottom and x.top<=l.bottom+80 under
-       from w l join w x on x.doc_id=l.doc_id and l.is_label and not x.is_word) p where beside or under"""}))
+    # A label looks into the bands of 100 pixels that its window touches.
+    "near": """select l.doc_id, label_seq, x.seq, x.text, x.lft, x.top, true beside, false under
+       from (select doc_id, seq label_seq, cy, r, unnest(range((cy-20)//100, (cy+20)//100+1)) band from w where is_label) l
+       join (select *, cy//100 band from w where not is_word) x using (doc_id, band) where abs(x.cy-l.cy)<=20 and x.lft>l.r+5
+     union all select l.doc_id, label_seq, x.seq, x.text, x.lft, x.top, false, true
+       from (select doc_id, seq label_seq, bottom, unnest(range(bottom//100, (bottom+80)//100+1)) band from w where is_label) l
+       join (select *, top//100 band from w where not is_word) x using (doc_id, band) where x.top>l.bottom and x.top<=l.bottom+80"""}))
 def _(v):
     return layout.words_after_label(labelled(v), "^date:?$")
 

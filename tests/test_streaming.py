@@ -92,3 +92,29 @@ def test_daily_counts_close_behind_the_watermark(spark, v, tmp_path):
     got = set(rows(spark.table("days"), "worker_id", "day", "day_sigs"))
     batch = set(rows(workforce.daily_counts(v.entries), "worker_id", "day", "day_sigs"))
     assert got and got <= batch and {d for _, d, _ in batch - got} <= {"2024-01-28", "2024-01-29", "2024-01-30"}
+
+
+def test_clock_of_a_busy_worker(spark):
+    """Against a plain fold: many days of one worker, ties of instants, open shifts carried over days."""
+    import random
+    from collections import Counter
+    from datetime import datetime, timedelta
+    r, start = random.Random(8), datetime(2024, 1, 1)
+    events = [(w, i, start + timedelta(minutes=30 * r.randrange(20_000 if w else 300)), r.choice(["in", "out", "out"] if i % 3 else ["in"]))
+              for w, n in ((0, 400), (1, 2500)) for i in range(n)]
+    shifts, verdicts = [], []
+    for w in (0, 1):
+        opened = None
+        for _, i, ts, kind in sorted((e for e in events if e[0] == w), key=lambda e: (e[2], e[1])):
+            if kind == "in":
+                said = "already_in" if opened else "accepted"
+                opened = opened or (ts, i)
+            else:
+                said = "not_in" if not opened else "out_not_after_in" if ts <= opened[0] else "accepted"
+                if said == "accepted":
+                    shifts.append((w, opened[1], opened[0], ts))
+                    opened = None
+            verdicts.append((w, ts, i, kind, said))
+    got = clock.pair_punches(spark.createDataFrame(events, "worker_id long, event_id long, ts timestamp_ntz, kind string"))
+    assert Counter(tuple(x) for x in got[0].collect()) == Counter(shifts)
+    assert Counter(tuple(x) for x in got[1].collect()) == Counter(verdicts)
