@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import or_else
 from ..operators.packet_rules import effective_status, export_filter
+from . import buckets
 
 # Accepted suffixes and the size limit.
 SHEET_SUFFIXES = [".pdf", ".jpg", ".jpeg", ".png", ".tif", ".tiff", ".heic", ".heif"]
@@ -72,8 +73,12 @@ def read_table(spark: SparkSession, location: str, table: str, split_column: str
 
 
 def save_sheets(lines: DataFrame, path: str) -> None:
-    """Replace the stored lines of every sheet in ``lines``; other sheets stay untouched."""
-    (lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path))
+    """Replace the stored lines of every sheet in ``lines``; other sheets stay untouched.
+
+    Sheets lie in buckets (``buckets.read_buckets`` reads them), so the number of files does not follow theirs, and a
+    write that breaks off changes nothing.
+    """
+    buckets.change(lines, path, ["project_id"], buckets.replace_groups("project_id"))
 
 
 def line_export(signatures: DataFrame) -> DataFrame:

@@ -148,30 +148,39 @@ def page_check(history_pages: DataFrame, history_rows: DataFrame, write):
 
 
 def upsert_sink(path: str, keys: list[str], version: list[str]):
-    """foreachBatch function keeping one latest row a key in a Parquet table.
+    """foreachBatch function keeping one latest row a key in a table of buckets.
 
-    Every batch writes a new generation beside the last; readers take the newest one
-    that is complete, so a lost executor never leaves a half-written table in use.
+    A batch rewrites the buckets of its keys only; one that comes again after a restart is passed over.
     """
     from ..operators.tables import latest_by
+    from ..sources.buckets import change
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        past = newest_generation(spark, path, before=batch_id)
-        rows = batch if past is None else past.unionByName(batch)
-        latest_by(rows, keys, version).write.mode("overwrite").parquet(f"{path}/gen={batch_id}")
+        change(batch, path, keys, lambda past, new: latest_by(new if past is None else past.unionByName(new), keys, version), batch_id)
 
     return run
 
 
-def newest_generation(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete generation of an upsert_sink table (with an id below ``before``)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    ids = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root)
-           if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    ids = [i for i in ids if before is None or i < before]
-    return spark.read.parquet(f"{path}/gen={max(ids)}") if ids else None
+def side_sink(write, path: str, ts: str, delay: str):
+    """foreachBatch function: rows over ``delay`` older than the newest row of earlier batches go to ``path``/late.
+
+    A watermark drops such rows without a trace; ``write`` gets the others and the batch id. The newest time of every
+    batch is kept under ``path``/marks, so a restart knows it, and a batch that comes again replaces what it wrote.
+    """
+    from ..sources.buckets import _exists
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = f"{path}/marks"
+        known = spark.read.parquet(marks).where(F.col("batch") < batch_id) if _exists(spark, marks) else None
+        newest = known.agg(F.max("newest")).first()[0] if known is not None else None
+        behind = F.col(ts) < F.lit(newest).cast(batch.schema[ts].dataType) - F.expr(f"interval {delay}") if newest is not None else F.lit(False)
+        batch = batch.persist()
+        try:
+            batch.where(behind).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            write(batch.where(~F.coalesce(behind, F.lit(False))), batch_id)
+            batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return run
