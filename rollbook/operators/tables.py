@@ -129,3 +129,10 @@ def visible_to(df: DataFrame, viewers: DataFrame, owner: str = "worker_id") -> D
     return own.join(df, F.col("viewer_id") == F.col(owner))
 
 
+def visible_counts(df: DataFrame, viewers: DataFrame, owner: str = "worker_id") -> DataFrame:
+    """(viewer_id, n_rows): how many rows each viewer sees, reviewers included; no row is copied for a reviewer."""
+    per = df.groupBy(F.col(owner).alias("viewer_id")).agg(F.count(F.lit(1)).alias("own"))
+    every = df.agg(F.count(F.lit(1)).alias("every"))
+    own = viewers.join(per, "viewer_id", "left")
+    return own.join(F.broadcast(every)).select(
+        "viewer_id", F.when(F.col("is_reviewer"), F.col("every")).otherwise(F.coalesce("own", F.lit(0))).alias("n_rows"))

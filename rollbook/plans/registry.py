@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import queries_field, queries_layout, queries_linkage, queries_review  # noqa: F401
+    from . import queries_checks, queries_field, queries_layout, queries_linkage, queries_review  # noqa: F401
