@@ -23,7 +23,10 @@ LINE_COLUMNS = ["line_number", "page", "raw_name", "raw_address", "raw_date", "s
 
 
 def scan_documents(spark: SparkSession, folder: str, glob: str = "*.{pdf,PDF}") -> DataFrame:
-    """path, modificationTime, length, content of the documents of a folder."""
+    """path, modificationTime, length, content of the documents of a folder.
+
+    Spark's scan passes over files of no bytes; rows of uploads that came another way are told so by ``admit_uploads``.
+    """
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 

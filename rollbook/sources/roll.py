@@ -30,7 +30,7 @@ def check_columns(df: DataFrame) -> DataFrame:
 
 def read_roll(spark: SparkSession, path: str, with_position: bool = True) -> DataFrame:
     """Registry CSV as strings, blanks for missing cells, with roll_pos in file order."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
     names = raw.columns
     if with_position:
         raw = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
