@@ -214,7 +214,8 @@ def find(column: pa.Array, rules: tuple[Rule, ...], machine: Automaton) -> list[
     sets the ends, leftmost first and without overlap within a rule. A tail goes on from
     there, over line breaks, in the same text.
     """
-    patterns, tails = [re.compile(r.pattern) for r in rules], [r.tail and re.compile(r.tail) for r in rules]
+    # ASCII: letters of other alphabets that fold to k or s are none of a name's letters, as for the automaton.
+    patterns, tails = [re.compile(r.pattern, re.ASCII) for r in rules], [r.tail and re.compile(r.tail, re.ASCII) for r in rules]
     data, offsets = utf8(column)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
     for a, b in runs(offsets, 8 << 20):

@@ -467,13 +467,13 @@ PLAIN = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 
 
 def plain_secrets(text):
-    found = [(m.start(), i, m.end(), k) for i, (k, p, g, least) in enumerate(PLAIN) for m in re.finditer(p, text or "") if len(m[g]) >= least]
+    found = [(m.start(), i, m.end(), k) for i, (k, p, g, least) in enumerate(PLAIN) for m in re.finditer(p, text or "", re.ASCII) if len(m[g]) >= least]
     return [(k, s, e) for s, _, e, k in sorted(found)]
 
 
 def test_secrets(spark, odd, none):
     random.seed(3)
-    bits = ["password", "PASSWD", "token", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12", "0123456789abcdef",
+    bits = ["password", "PASSWD", "token", "to\u212aen", "pa\u017f\u017fwd", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12", "0123456789abcdef",
             "deadbeef", "\n", "é", "AbCdEf123456", "-", "."]
     rows = ["".join(random.choices(bits, k=random.randint(0, 20))) for _ in range(3000)] + [None, "", "f" * 100_000] + [t for _, t in texts()]
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
