@@ -115,6 +115,8 @@ def factors(docs: DataFrame) -> DataFrame:
                     yield from block.rest()
                     block = Block(block.number + 1)
         yield from block.rest()
+        del block
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(read, FACTORS)
 
@@ -156,11 +158,10 @@ def packed(counts: pa.Table, buckets: int) -> pa.Table:
     of_word = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
     bucket = of_word[words.indices.to_numpy()]
     order = np.lexsort((pc.rank(words.dictionary).to_numpy()[words.indices.to_numpy()], bucket))
-    counts, bucket = counts.take(pa.array(order)), bucket[order]
-    ends = np.searchsorted(bucket, np.arange(buckets + 1))
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     found, parts = [], []
     for i in np.flatnonzero(np.diff(ends)):
-        some = counts.slice(ends[i], ends[i + 1] - ends[i]).combine_chunks()
+        some = counts.take(pa.array(order[ends[i]:ends[i + 1]])).combine_chunks()
         for c in ("lang", "source", "term"):
             some = some.set_column(some.schema.get_field_index(c), c, some[c].dictionary_encode())
         sink = pa.BufferOutputStream()
@@ -218,7 +219,9 @@ def term_counts(docs: DataFrame, blocks: int = 1024, chunks: int = 250_000) -> D
 
     def count(rows: pa.Table, names: pa.Table) -> pa.Table:
         if rows.num_rows and names.num_rows:
-            return packed(count_block(rows, names), buckets)
+            found = packed(count_block(rows, names), buckets)
+            pa.default_memory_pool().release_unused()  # workers stay, for the next block and for other tasks
+            return found
         return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
