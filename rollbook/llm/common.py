@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,36 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
 
 
+# Names that operators give columns of their own, besides all that begin with an underscore.
+INTERNAL = frozenset(("ref_classes", "ref_common", "copy"))
+
+
+def set_aside(operator):
+    """An operator on documents that is shown none of their columns named like its internal ones.
+
+    They travel in one struct of a name that the documents lack and come back under their names, in place of the
+    result's where it has such. Documents without such columns go to the operator as they are; a result that keeps no
+    extra columns stays as it is.
+    """
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        names = [c for c in docs.columns if c.startswith("_") or c in INTERNAL]
+        if not names:
+            return operator(docs, *args, **how)
+        aside = "own"
+        while aside in docs.columns:
+            aside += "_"
+        col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        shown = [c for c in docs.columns if c not in names]
+        out = operator(docs.select(*map(col, shown), F.struct(*map(col, names)).alias(aside)), *args, **how)
+        if aside not in out.columns:
+            return out
+        back = [F.col(aside).getField(c).alias(c) if c in names else col(c) for c in docs.columns if c in names or c in out.columns]
+        return out.select(*back, *(col(c) for c in out.columns if c != aside and c not in docs.columns))
+
+    return run
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-blank characters; null has none."""
     bare = F.ltrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

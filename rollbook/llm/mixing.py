@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.workforce import global_rank
 from ..session import cut
-from .common import attach, running, word_count
+from .common import attach, running, set_aside, word_count
 
 BITS, LEVELS = 12, 5  # 60 bits of hash, looked at 12 by 12
 
@@ -42,6 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return ranked.select("source", "source_size", F.least("cap", F.col("w") * F.lit(level)).alias("target"))
 
 
+@set_aside
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``docs`` with size, source_size, target and copies: how often the mix takes a document.
 

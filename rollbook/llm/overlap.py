@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import SPACES, components, runs, shingles, utf8, word_codes, word_spans
+from .common import SPACES, components, runs, set_aside, shingles, utf8, word_codes, word_spans
 
 HEAVY = 1 << 17  # shingles that may count as heavy: what each task is sent is at most 2 MB
 BITS = 1 << 26  # of the filter of wanted documents, 8 MB
@@ -449,6 +449,7 @@ def join(docs: DataFrame, width: int = 5, heavy: int = HEAVY) -> DataFrame:
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@set_aside
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, null last.
 

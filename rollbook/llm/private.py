@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import set_aside
 
 KINDS = ["email", "ip", "card", "phone"]
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -110,6 +111,7 @@ def patterns(seen: DataFrame, rounds: int, support: int, confidence: float) -> D
     return trusted
 
 
+@set_aside
 def find(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """``docs`` without its text, with ``base`` and ``spans``: arrays of (kind, start, end) by kind, then start.
 

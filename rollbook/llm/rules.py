@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import SPACES, attach
+from .common import SPACES, attach, set_aside
 
 # Some of the most common words of four languages.
 COMMON = list(dict.fromkeys((
@@ -137,6 +137,7 @@ NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "c
        "base_failed", "kept"]
 
 
+@set_aside
 def check(docs: DataFrame, class_distance: float = 0.2, class_slack: float = 0.6, class_words: int = 20,
           word_distance: float = 0.1, word_slack: float = 1.2, word_words: int = 60, keep_text: bool = False) -> DataFrame:
     """``docs`` with its measures, its two distances from its language and the verdict ``kept``.

@@ -549,3 +549,18 @@ def test_digests_of_spans(spark):
     for d, t in texts():
         said = ",".join(f"{k}:{s}:{e}" for k, s, e in plain_private(t))
         assert row[d].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_columns_named_like_internal_ones(odd):
+    """They come back as they were, and what the operator says of each document does not change."""
+    from pyspark.sql import functions as F
+    names = ["_key", "_more", "_id", "_hash", "_h", "_rounds", "_bound", "_row", "_c", "_b", "_text", "_classes", "_common", "_n",
+             "ref_classes", "ref_common", "copy", "_a.b"]
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    clashing = plain.withColumns({c: F.lit(f"own {c}") for c in names})
+    quoted = [F.col(f"`{c}`") for c in names]
+    for operator in (rules.check, mixing.mix, private.find, overlap.one_of_each):
+        want, got = operator(plain), operator(clashing)
+        assert set(got.columns) == set(want.columns) | set(names)
+        assert {tuple(r) for r in got.select(*quoted).collect()} == {tuple(f"own {c}" for c in names)}
+        assert sorted(rows_of(got.select(*want.columns)), key=repr) == sorted(rows_of(want), key=repr)
