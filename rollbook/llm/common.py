@@ -208,7 +208,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     turn is two aggregates and two equi-joins, written to the shared folder; nothing but
     whether it is the last one reaches the driver.
     """
-    edges = cut(contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v")))
+    # The shuffle parts it from Python work that made the edges: a stage with both would hold two workers a core.
+    edges = cut(contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()))
     while not _settled(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
