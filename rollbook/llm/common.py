@@ -163,62 +163,29 @@ def shingles(codes: np.ndarray, owner: np.ndarray, n: int, width: int = 5) -> li
 
 # ── connected components ─────────────────────────────────────────────────────
 
-def contracted(edges: DataFrame, at_once: int = 1 << 20) -> DataFrame:
-    """(u, v): the edges with what hangs together in some of a task's rows put to its smallest node; no shuffle."""
-    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in "uv")
-        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-        a, b = at[:len(u)], at[len(u):]
-        low = np.arange(len(nodes))
-        while (low[a] != low[b]).any():
-            x, y = low[a], low[b]
-            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
-            while (low[low] != low).any():
-                low = low[low]
-        child = np.flatnonzero(low != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[low[child]])], names=["u", "v"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= at_once:
-                yield stars(held)
-                held, size = [], 0
-        if size:
-            yield stars(held)
-
-    return edges.mapInArrow(work, "u long, v long")
-
-
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node has one edge down at most, and only to nodes that have none."""
-    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("down")).union(edges.select("v", F.lit(None).cast("long")))
-    nodes = ends.groupBy("node").agg((F.coalesce(F.min("down") != F.max("down"), F.lit(False)) | (
-        F.max("down").isNotNull() & F.max(F.col("down").isNull()))).alias("open"))
-    return not nodes.agg(F.max("open")).first()[0]
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of the edges, given as longs.
+    """(node, root): the smallest node reachable from each node of the edges.
 
-    Large-star and small-star by turns until every edge points at a root. What hangs
-    together within a task is put together before it is written, which saves turns. A
-    turn is two aggregates and two equi-joins, written to the shared folder; nothing but
-    whether it is the last one reaches the driver.
+    Large-star and small-star by turns until every edge points at a root. Each turn is
+    two aggregates and two equi-joins, written to the shared folder; nothing but a
+    count and a checksum reaches the driver.
     """
-    # The shuffle parts it from Python work that made the edges: a stage with both would hold two workers a core.
-    edges = cut(contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()))
-    while not _settled(edges):
+    edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
+    seen = None
+    while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(
-            low.select("u", F.col("m").alias("v")))
-        edges = cut(contracted(small))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
+            low.select("u", F.col("m").alias("v"))).distinct()
+        edges = cut(small)
+        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if state == seen:
+            break
+        seen = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        edges.select("v", "v").distinct())
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
