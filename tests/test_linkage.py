@@ -98,6 +98,17 @@ def test_sequence_match_against_brute_force():
         assert sorted((i, j) for i, j, _ in tiles.best_by_sequence(q, p, weights, k, cutoff)) == sorted(want)
 
 
+def test_sequence_match_holds_no_table_of_queries_by_pool():
+    import tracemalloc
+    q = pd.DataFrame({"name": ["JANE DOE"] * 20000, "address": ["1 OAK"] * 20000, "zip": [""] * 20000})
+    p = pd.DataFrame({"pos": range(6000), "name": [f"N{i}" for i in range(6000)], "address": ["2 ELM"] * 6000, "zip": [""] * 6000})
+    tracemalloc.start()
+    tiles.best_by_sequence(q, p, linkage.PACKET_WEIGHTS, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # one byte a pair would be 120 MB
+
+
 def random_sheets(seed=3):
     rng = random.Random(seed)
     rows = []
