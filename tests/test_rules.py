@@ -1,9 +1,11 @@
 """Sheet rules, packet state and field checks on small fixtures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import values as vl
 from rollbook.operators import linkage, packet_rules, quality, sheet_rules
+from rollbook.session import cut
 from test_linkage import lines
 
 
@@ -72,3 +74,30 @@ def test_first_strategy_with_rows_wins_a_page(spark):
     two = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id int, v string")
     got = quality.first_strategy(["doc_id"], one, two).collect()
     assert sorted((r.doc_id, r.v, r.strategy) for r in got) == [(1, "a", 1), (1, "b", 1), (2, "y", 2)]
+
+
+def shuffled(spark, df):
+    """Bytes that a run of ``df`` writes to shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        found, out = store.stageList(None, False, False, none, None).iterator(), 0
+        while found.hasNext():
+            out += found.next().shuffleWriteBytes()
+        return out
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+@pytest.mark.parametrize("name", ["extract_by_headers", "extract_by_numbers", "extract_by_bands"])
+def test_words_of_a_page_are_shuffled_once(spark, name):
+    from rollbook.operators import layout
+    seq = F.col("id") % 3000
+    text = F.when(seq % 12 == 0, (F.floor(seq / 12) % 8 + 1).cast("string")).otherwise(F.substring(F.md5(F.col("id").cast("string")), 1, 8))
+    words = cut(spark.range(30000).select(F.floor(F.col("id") / 3000).alias("doc_id"), seq.cast("int").alias("seq"), text.alias("text"), (seq % 12 * 80).alias("lft"),
+                (F.floor(seq / 12) * 180).alias("top"), F.lit(64).alias("width"), F.lit(20).alias("height"), (50 + seq % 50).alias("conf")))
+    pages = cut(words.select("doc_id").distinct().withColumn("page_width", F.lit(1000)))
+    once = shuffled(spark, words.repartition(4, "doc_id"))
+    assert shuffled(spark, getattr(layout, name)(words, pages)) < 1.7 * once
