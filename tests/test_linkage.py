@@ -40,6 +40,14 @@ def test_names_and_addresses(spark):
     assert got[1].search_key == "smith jane 123 main" and got[1].date == "05 14 2026"
 
 
+def test_an_address_is_read_once(spark, monkeypatch):
+    seen, read = [], linkage.with_address
+    monkeypatch.setattr(linkage, "with_address", lambda df, raw: (seen.append(df), read(df, raw))[1])
+    out = linkage.normalize_lines(lines(spark, [("Jane Smith", "123 Main St, Springfield, CA 90210")] * 40 + [("", "")] * 3 + [("Bob Ray", None)]))
+    assert seen[0].count() == 2
+    assert sorted(r["count"] for r in out.groupBy("street", "zip_code").count().collect()) == [4, 40]
+
+
 def test_match_finds_people_and_leaves_blank_lines(spark):
     n = linkage.normalize_lines(lines(spark, [("Jane Smith", "123 Main St Springfield CA"), ("Jane Smyth", "123 Main St Springfield CA"),
                                               ("Xyz Qwerty", "999 Nowhere Blvd Faketown ZZ"), ("", "")]))
