@@ -48,6 +48,14 @@ def test_an_address_is_read_once(spark, monkeypatch):
     assert sorted(r["count"] for r in out.groupBy("street", "zip_code").count().collect()) == [4, 40]
 
 
+def test_comparable_sheets_lists_every_pair(spark):
+    from rollbook.operators import resheet
+    sheets = lambda rows: spark.createDataFrame(rows, "project_id long, cause string, county string")
+    new, old = [(11, "Parks", "Kern"), (12, "", "kern"), (13, "parks ", None)], [(1, "parks", "KERN"), (2, "roads", ""), (3, "", "yolo"), (4, "parks", "kern")]
+    got = sorted(map(tuple, resheet.comparable_sheets(sheets(new), sheets(old)).collect()))
+    assert got == [(11, 1), (11, 4), (12, 1), (12, 2), (12, 4), (13, 1), (13, 3), (13, 4)]
+
+
 def test_match_finds_people_and_leaves_blank_lines(spark):
     n = linkage.normalize_lines(lines(spark, [("Jane Smith", "123 Main St Springfield CA"), ("Jane Smyth", "123 Main St Springfield CA"),
                                               ("Xyz Qwerty", "999 Nowhere Blvd Faketown ZZ"), ("", "")]))
