@@ -90,8 +90,8 @@ def same_date(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def address_rules(lines: DataFrame, gap: int = NEARBY_GAP) -> DataFrame:
     """nearby_address and consecutive_addresses.
 
-    Works on one row per house number of a street, so a window never holds more than
-    the numbers of one street. Neighbours: the lowest number within ``gap`` below,
+    Works on one row per house number of a street with its lines, so a window never holds
+    more than the numbers of one street, and lines are shuffled once and not joined back. Neighbours: the lowest number within ``gap`` below,
     else the next one above. Runs: four numbers in steps of one, where the two inner
     numbers occur once (a repeated number breaks the run, as sorted lines would).
     """
@@ -101,8 +101,9 @@ def address_rules(lines: DataFrame, gap: int = NEARBY_GAP) -> DataFrame:
                 tx.street_without_number(F.col("raw_address")).alias("road"))
         .where("number is not null and road <> ''"))
     place = ["project_id", "road"]
-    numbers = numbered.groupBy(*place, "number").agg(
-        F.count(F.lit(1)).alias("n"), F.min("line_number").alias("first"), F.max("line_number").alias("last"))
+    numbers = numbered.repartition(*place).groupBy(*place, "number").agg(
+        F.count(F.lit(1)).alias("n"), F.min("line_number").alias("first"), F.max("line_number").alias("last"),
+        F.collect_list("line_number").alias("line_numbers"))
     w = Window.partitionBy(*place).orderBy("number")
     seen = numbers.withColumns({
         "below": F.first("first").over(w.rangeBetween(-gap, -1)),
@@ -111,8 +112,8 @@ def address_rules(lines: DataFrame, gap: int = NEARBY_GAP) -> DataFrame:
         **{f"c{k}": F.lead("n", k).over(w) for k in (1, 2)},
         **{f"f{k}": F.lead("first", k).over(w) for k in (1, 2, 3)}})
     close = seen.where("below is not null or above is not null").select(
-        *place, "number", F.coalesce("below", "above").alias("partner"))
-    nearby = _flags(numbered.join(close, [*place, "number"]), NEARBY_ADDRESS, partner=F.col("partner"))
+        "project_id", F.explode("line_numbers").alias("line_number"), F.coalesce("below", "above").alias("partner"))
+    nearby = _flags(close, NEARBY_ADDRESS, partner=F.col("partner"))
 
     runs = seen.where("n1 = number + 1 and n2 = number + 2 and n3 = number + 3 and c1 = 1 and c2 = 1")
     members = F.array("last", "f1", "f2", "f3")
