@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
+from ..session import cut
 from .sheet_rules import DOMINANT_SHARE, MIN_LINES, dominant_value
 from .similar import DIRECT_TEXTS, similar_by_sequence
 
@@ -69,8 +70,9 @@ def near_sequences(lines: DataFrame, step: int = MAX_STEP) -> DataFrame:
     """Rows in three or more house numbers of a city with no gap above ``step``.
 
     Three successive sorted rows whose two gaps are small form a hit, so the hits are
-    the chains of three rows and more. Chains are cut over distinct numbers with their
-    row counts: repeats are gaps of 0, and a window holds one city's numbers at most.
+    the chains of three rows and more. Chains are cut over distinct numbers, each with
+    its rows: repeats are gaps of 0, and a window holds one city's numbers at most. Rows
+    are read and shuffled once, by city of a packet; nothing is joined back.
     """
     numbered = active(lines).select(
         *KEY, _city().alias("city"),
@@ -78,11 +80,11 @@ def near_sequences(lines: DataFrame, step: int = MAX_STEP) -> DataFrame:
     numbered = numbered.where("num is not null")
     place = ["packet_id", "city"]
     w = Window.partitionBy(*place).orderBy("num")
-    nums = numbered.groupBy(*place, "num").agg(F.count(F.lit(1)).alias("n"))
+    nums = numbered.repartition(*place).groupBy(*place, "num").agg(F.collect_list("line_no").alias("line_nos"))
     cuts = nums.withColumn("cut", (F.coalesce(F.col("num") - F.lag("num").over(w), F.lit(step + 1)) > step).cast("int"))
     chains = cuts.withColumn("chain", F.sum("cut").over(w))
-    long = chains.groupBy(*place, "chain").agg(F.sum("n").alias("rows")).where("rows >= 3")
-    hit = numbered.join(chains.join(long, [*place, "chain"]).select(*place, "num"), [*place, "num"])
+    long = chains.withColumn("rows", F.sum(F.size("line_nos")).over(Window.partitionBy(*place, "chain"))).where("rows >= 3")
+    hit = long.select("packet_id", F.explode("line_nos").alias("line_no"))
     return _flag(hit, "consecutive_addresses", POINTS["consecutive_addresses"])
 
 
@@ -91,25 +93,25 @@ def city_runs(lines: DataFrame, run: int = RUN_OF_CITY, chunk_rows: int = 4096)
 
     Runs are cut inside chunks of line numbers first; only the outer runs of a chunk,
     which may go on in the next one, meet again per packet. So even one huge packet is
-    spread over many tasks.
+    spread over many tasks. Lines are read once; their runs are written and read again.
     """
     src = active(lines).select(*KEY, _city().alias("city"), F.floor(F.col("line_no") / chunk_rows).alias("chunk"))
     part = ["packet_id", "chunk"]
     w = Window.partitionBy(*part).orderBy("line_no")
     prev = F.lag("city").over(w)
-    rows = src.withColumn("cut", F.when(prev == F.col("city"), 0).otherwise(1)).withColumn(
-        "piece", F.sum("cut").over(w))
-    pieces = rows.groupBy(*part, "piece").agg(
-        F.count(F.lit(1)).alias("n"), F.min("line_no").alias("start"), F.any_value("city").alias("city"))
-    last = pieces.groupBy(*part).agg(F.max("piece").alias("last"))
-    edge = (pieces.join(last, part).where((F.col("piece") == 1) | (F.col("piece") == F.col("last"))))
+    rows = src.withColumn("cut", F.when(prev == F.col("city"), 0).otherwise(1)).withColumn("piece", F.sum("cut").over(w))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*part, "piece"))).withColumn(
+        "edge", (F.col("piece") == 1) | (F.col("piece") == F.max("piece").over(Window.partitionBy(*part))))
+    rows = cut(rows.select(*KEY, "chunk", "piece", "n", F.when(F.col("edge"), F.col("city")).alias("city"), "edge"))
+    edge = rows.where("edge").groupBy(*part, "piece").agg(
+        F.any_value("n").alias("n"), F.min("line_no").alias("start"), F.any_value("city").alias("city"))
     across = Window.partitionBy("packet_id").orderBy("start")
     goes_on = (F.lag("city").over(across) == F.col("city")) & (F.lag("chunk").over(across) != F.col("chunk"))
     edge = edge.withColumn("cut", F.when(goes_on, 0).otherwise(1)).withColumn("joined", F.sum("cut").over(across))
-    total = edge.groupBy("packet_id", "joined").agg(F.sum("n").alias("total"))
-    whole = edge.join(total, ["packet_id", "joined"]).select(*part, "piece", "total")
-    long = pieces.join(whole, [*part, "piece"], "left").where(F.coalesce("total", "n") >= run)
-    hit = rows.join(long.select(*part, "piece"), [*part, "piece"], "left_semi")
+    whole = edge.withColumn("total", F.sum("n").over(Window.partitionBy("packet_id", "joined")))
+    grown = whole.where((F.col("n") < run) & (F.col("total") >= run)).select(*part, "piece")
+    hit = rows.where(F.col("n") >= run).select(*KEY).unionByName(
+        rows.where(F.col("edge") & (F.col("n") < run)).join(grown, [*part, "piece"], "left_semi").select(*KEY))
     return _flag(hit, "long_city_run", POINTS["long_city_run"])
 
 
