@@ -26,7 +26,7 @@ ROW_CHUNKS = 100_000  # ... and of a row of them
 BATCH = 50_000
 STRIPE = 256  # sources compared with all others at a time
 CELLS = 2_000_000  # numbers of a matrix in a task
-HELD = 2_000_000  # counts held at once besides the sums
+HELD = 250_000  # counts held at once besides the sums
 COUNTS = ["lang", "source", "term", "documents", "occurrences"]
 FACTORS = "block long, chunk string, number int, lang string, source string, sizes binary, chunks binary, counts binary"
 
@@ -132,11 +132,15 @@ def count_block(rows: pa.Table, names: pa.Table) -> pa.Table:
     # The terms of chunk number i are codes[starts[i]:starts[i + 1]]; chunks without any have no row.
     codes, starts = codes[np.argsort(np.repeat(number, sizes[number + 1]), kind="stable")], sizes.cumsum()
     out = []
-    by_group: dict[tuple[str, str], list[tuple[np.ndarray, ...]]] = {}
+    del lists, terms, number
+    by_group: dict[tuple[str, str], list[int]] = {}
     for i, key in enumerate(zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), strict=True)):
-        by_group.setdefault(key, []).append(documents_of(*(rows[c][i].as_py() for c in ("sizes", "chunks", "counts"))))
-    for (lang, source), parts in by_group.items():
+        by_group.setdefault(key, []).append(i)
+    for (lang, source), own in by_group.items():
+        # Numbers are read for one group at a time; the others stay compressed.
+        parts = [documents_of(*(rows[c][i].as_py() for c in ("sizes", "chunks", "counts"))) for i in own]
         documents, chunks, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         owner = np.repeat(np.arange(len(documents)), documents)
         known = chunks < len(starts) - 1
         owner, chunks, counts = owner[known], chunks[known], counts[known]
@@ -173,19 +177,26 @@ def packed(counts: pa.Table, buckets: int) -> pa.Table:
 
 
 def summed(parts: Iterator[pa.Table]) -> pa.Table:
-    """One row for each (lang, source, term): the sums over all parts, added up in turns so that few are held at once."""
+    """One row for each (lang, source, term): the sums over all parts, added up in turns so that few are held at once.
+
+    What a turn leaves unused goes back to the system, else the allocator keeps several times what is held.
+    """
     held: list[pa.Table] = []
     total = 0
 
     def add() -> pa.Table:
-        every = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("documents", "sum"), ("occurrences", "sum")])
+        # One thread: a task has one core, and every further thread would have a table of its own.
+        every = pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False).aggregate(
+            [("documents", "sum"), ("occurrences", "sum")])
+        held.clear()
+        pa.default_memory_pool().release_unused()
         return every.rename_columns({"documents_sum": "documents", "occurrences_sum": "occurrences"}).select(COUNTS)
 
     for part in parts:
         held.append(part)
         total += part.num_rows
         if len(held) > 1 and total > max(2 * held[0].num_rows, HELD):
-            held = [add()]
+            held.append(add())
             total = held[0].num_rows
     return add()
 
@@ -232,6 +243,7 @@ def term_counts(docs: DataFrame, blocks: int = 1024, chunks: int = 250_000) -> D
                     yield table.cast(pa.schema([(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(COUNTS)]))
 
         yield from summed(tables()).to_batches(BATCH)
+        pa.default_memory_pool().release_unused()
 
     counted = held.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(count, "bucket int, part binary")
     return counted.groupBy("bucket").applyInArrow(add, "lang string, source string, term string, documents long, occurrences long")
