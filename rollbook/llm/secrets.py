@@ -11,6 +11,7 @@ from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -218,7 +219,7 @@ def find(column: pa.Array, rules: tuple[Rule, ...], machine: Automaton) -> list[
     patterns, tails = [re.compile(r.pattern, re.ASCII) for r in rules], [r.tail and re.compile(r.tail, re.ASCII) for r in rules]
     data, offsets = utf8(column)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
-    for a, b in runs(offsets, 8 << 20):
+    for a, b in runs(offsets):
         part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         where, what = scan_bytes(machine, part)
         if not len(where):
@@ -285,7 +286,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
             if hit:
                 new = dict(zip(hit, (_replaced(texts[i].as_py(), spans[i], mark) for i in hit), strict=True))
                 kind = texts.type
-                texts = pa.array([new[i] if i in new else t for i, t in enumerate(texts.to_pylist())], kind)
+                at = np.zeros(len(texts), bool)
+                at[hit] = True
+                texts = pc.replace_with_mask(texts, pa.array(at), pa.array(new.values(), kind))
                 columns = {"text": texts}
                 if "n_chars" in names:
                     chars = batch.column("n_chars").to_pylist()

@@ -1,8 +1,10 @@
 """What steps hold or hand on at once stays bounded."""
 
+import tracemalloc
+
 import pyarrow as pa
 
-from rollbook.llm import audit
+from rollbook.llm import audit, secrets
 
 
 def test_counts_are_added_up_without_holding_many():
@@ -20,3 +22,20 @@ def test_counts_are_added_up_without_holding_many():
     assert sorted(out["term"].to_pylist()) == sorted(terms)
     assert set(out["documents"].to_pylist()) == {40} and set(out["occurrences"].to_pylist()) == {80}
     assert most < 32 << 20
+
+
+def test_secret_search_holds_little_besides_the_texts():
+    texts = pa.array(["password = abcdefghijklmnop", *("some words without a secret\n" * 300 for _ in range(1200))])
+    rules = secrets.BASE + secrets.MORE
+    machine = secrets.automaton(tuple(r.core for r in rules))
+    tracemalloc.start()
+    found = secrets.find(texts, rules, machine)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, x in enumerate(found) if x] == [0] and found[0] == [(0, 0, 27)]
+    assert most < 64 << 20
+
+
+def test_redacted_batch_keeps_nulls_and_other_texts(spark):
+    docs = spark.createDataFrame([(1, "token: abcdefghijklmnop end"), (2, None), (3, "x"), (4, "")], "doc_id int, text string").coalesce(1)
+    assert dict(map(tuple, secrets.redact(docs).collect())) == {1: "[secret] end", 2: None, 3: "x", 4: ""}
