@@ -13,6 +13,7 @@ for these the whole set is the one band.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import components, mixed, runs, utf8, word_codes, word_spans
-from .overlap import ROUNDS, mixed_lists, trials, verify
+from .overlap import ROUNDS, _must_meet, mixed_lists, trials, verify
 
 PASSAGE, WIDTH = 25, 5
 BANDS, ROWS = 16, 4
@@ -29,18 +30,13 @@ PEELS = 2  # turns for lines that are in no bucket's largest component
 PLACES = 1 << 26  # of the filter of wanted lines, 8 MB
 FREQUENT = 1 << 17  # shingles that are ordered by their count: what each task is sent is at most 2 MB
 TILE = 1024  # lines on a side of a comparison of a long list
+PAIRS = 1 << 18  # pairs of a cell at a time
 _rng = np.random.Generator(np.random.PCG64(11))
 _SCALE = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _WORD = _rng.integers(0, 1 << 64, PASSAGE, np.uint64) | np.uint64(1)
 
 
-def _sequence(codes: np.ndarray) -> np.uint64:
-    """A hash of a sequence of words of any length."""
-    place = mixed(np.arange(1, len(codes) + 1, dtype=np.uint64))
-    return mixed(np.array([(codes * (place | np.uint64(1))).sum(dtype=np.uint64)], np.uint64))[0]
-
-
 class Part:
     """The words, shingles and lines of a range of texts."""
 
@@ -62,13 +58,25 @@ class Part:
         long = size >= PASSAGE
         self.first, self.size, self.doc = edge[long], size[long], owner[edge[long]]
 
-    def lines(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """Text, first word, words and sorted set of shingles of each paragraph."""
-        for d, a, n in zip(self.doc.tolist(), self.first.tolist(), self.size.tolist(), strict=True):
-            yield d, a, n, np.unique(self.shingle[a:a + n - WIDTH + 1])
-
-    def stretches(self) -> Iterator[tuple[int, int]]:
+    def sets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted sets of shingles of all paragraphs one after the other, where each begins, and their keys."""
+        n = self.size - WIDTH + 1
+        begin = np.cumsum(n) - n
+        line = np.repeat(np.arange(len(n)), n)
+        every = self.shingle[np.arange(len(line)) - np.repeat(begin - self.first, n)]
+        every = every[np.lexsort((every, line))]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = (every[1:] != every[:-1]) | (line[1:] != line[:-1])
+        every, line = every[fresh], line[fresh]
+        begin = np.searchsorted(line, np.arange(len(n)))
+        if not len(n):
+            return every, begin, np.zeros(0, np.int64)
+        place = mixed((np.arange(len(every)) - begin[line] + 1).astype(np.uint64))
+        return every, begin, mixed(np.add.reduceat(every * (place | np.uint64(1)), begin)).astype(np.int64)
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
         """Text and first word of each stretch that begins at an anchor."""
+        docs, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d, (a, b) in enumerate(zip(self.docs[:-1].tolist(), self.docs[1:].tolist(), strict=True)):
             free = b - a - PASSAGE + 1  # places where a stretch can begin
             if free < 1:
@@ -79,8 +87,9 @@ class Part:
                 anchor = np.unique(low + np.arange(len(low)))
             else:
                 anchor = np.array([at.argmin()])
-            for i in anchor.tolist():
-                yield d, a + i
+            docs.append(np.full(len(anchor), d))
+            firsts.append(anchor + a)
+        return np.concatenate(docs), np.concatenate(firsts)
 
     def stretch_hashes(self) -> np.ndarray:
         n = max(0, len(self.codes) - PASSAGE + 1)
@@ -90,20 +99,15 @@ class Part:
         return mixed(out)
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+def _signatures(every: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The band keys of each set."""
-    if not sets:
+    if not len(first):
         return np.zeros((0, BANDS), np.uint64)
-    every, first = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
     low = [np.minimum.reduceat(every * a + b, first) for a, b in zip(_SCALE, _SHIFT, strict=True)]
     keys = [mixed(sum((low[band * ROWS + r] * _WORD[r] for r in range(ROWS)), np.uint64(band))) for band in range(BANDS)]
     return np.column_stack(keys)
 
 
-def _key(found: np.ndarray) -> int:
-    return int(_sequence(found).astype(np.int64))
-
-
 def units(docs: DataFrame) -> DataFrame:
     """doc_id, key, start, end (code points) and words of all paragraphs and stretches; n and bands of the paragraphs only."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -113,22 +117,18 @@ def units(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(batch.column("text"))
             for a, b in runs(offsets):
                 part = Part(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                rows, sets = [], []
-                for d, first, n, found in part.lines():
-                    rows.append((d, first, first + n - 1))
-                    sets.append(found)
-                bands = _signatures(sets)
-                keys = [_key(s) for s in sets]
-                hashes = part.stretch_hashes().astype(np.int64)
-                for d, first in part.stretches():
-                    rows.append((d, first, first + PASSAGE - 1))
-                    keys.append(int(hashes[first]))
-                at = np.array(rows, np.int64).reshape(-1, 3)
+                every, begin, keys = part.sets()
+                bands = _signatures(every, begin)
+                docs, firsts = part.stretches()
+                doc, first = np.concatenate((part.doc, docs)), np.concatenate((part.first, firsts))
+                words = np.concatenate((part.size, np.full(len(docs), PASSAGE)))
+                keys = np.concatenate((keys, part.stretch_hashes().astype(np.int64)[firsts]))
+                none = len(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(a + at[:, 0])), pa.array(keys, pa.int64()), pa.array(part.start[at[:, 1]]),
-                     pa.array(part.end[at[:, 2]]), pa.array(at[:, 2] - at[:, 1] + 1),
-                     pa.array([len(s) for s in sets] + [None] * (len(at) - len(sets)), pa.int64()),
-                     pa.array([x.tobytes() for x in bands] + [None] * (len(at) - len(bands)), pa.binary())],
+                    [batch.column("doc_id").take(pa.array(a + doc)), pa.array(keys), pa.array(part.start[first]),
+                     pa.array(part.end[first + words - 1]), pa.array(words),
+                     pa.array([*np.diff(np.append(begin, len(every))).tolist(), *[None] * none], pa.int64()),
+                     pa.array([x.tobytes() for x in bands] + [None] * none, pa.binary())],
                     names=["doc_id", "key", "start", "end", "words", "n", "bands"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(
@@ -148,14 +148,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in runs(offsets):
+                every, begin, own = Part(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]).sets()
+                ends, p = np.append(begin, len(every))[1:], own % PLACES
                 keys, found = [], []
-                for _, _, _, s in Part(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]).lines():
-                    key = _key(s)
-                    p = key % PLACES
-                    if bits[p >> 3] >> (p & 7) & 1 and key not in seen:
+                for i in np.flatnonzero(bits[p >> 3] >> (p & 7) & 1).tolist():
+                    if (key := int(own[i])) not in seen:
                         seen.add(key)
                         keys.append(key)
-                        found.append(s.tobytes())
+                        found.append(every[begin[i]:ends[i]].tobytes())
                 if len(seen) > 500_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "shingles"])
@@ -169,7 +169,10 @@ def across(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
     Shingles are put in one order, rare before frequent. Of its n a line enters the first
     n - ceil(0.75 n) + 1 into lists. Two similar lines have ceil(3/7 (x + y)) shingles in
-    common, so they meet in as many lists as that leaves outside neither's last ones.
+    common, so they meet in as many lists as that leaves outside neither's last ones. Lists
+    are compared in cells of about ``TILE`` by ``TILE`` lines, where a line brings all it
+    has entered: a pair is counted at once and told in the first list that both are in, so
+    what meets too seldom is never a row. The comparisons still grow with the square of a list.
     """
     chosen = cut(sets.join(open_.select("k", "n", "root").distinct(), "k"))
 
@@ -196,25 +199,84 @@ def across(open_: DataFrame, sets: DataFrame) -> DataFrame:
                 s = np.frombuffer(s, np.int64)
                 at = np.minimum(np.searchsorted(marks, s), len(marks) - 1)
                 weight = np.where(marks[at] == s, df[at], 0) if len(marks) else np.zeros(len(s), np.int64)
-                picked.append(s[np.lexsort((s, weight))[:len(s) // 4 + 1]])
-            row = pa.array(np.repeat(np.arange(len(picked)), [len(x) for x in picked]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked) if picked else np.zeros(0, np.int64)), *(
-                batch.column(c).take(row) for c in ("k", "n", "root"))], names=["s", "k", "n", "root"])
+                picked.append(np.sort(s[np.lexsort((s, weight))[:len(s) // 4 + 1]]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "n", "root")), pa.array(picked, pa.list_(pa.int64()))],
+                                             names=["k", "n", "root", "entered"])
 
-    lists = cut(chosen.mapInArrow(enter, "s long, k long, n long, root long"))
+    lines = cut(chosen.mapInArrow(enter, "k long, n long, root long, entered array<long>"))
+    lists = lines.select("k", "root", F.explode("entered").alias("s"))
     sizes = lists.groupBy("s", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(
         F.max_by("root", F.struct("m", "root")).alias("hub"), F.sum("m").alias("c"), F.max("m").alias("m")).where("c > m")
     # Of two components one is not the list's largest; both sides of a long list are dealt out to tiles.
-    told = cut(lists.join(sizes.select("s", "hub", F.expr(f"(c - m) div {TILE} + 1").alias("high"), F.expr(f"c div {TILE} + 1").alias("wide")), "s"))
+    told = lists.drop("root").join(sizes.select("s", "hub", F.expr(f"(c - m) div {TILE} + 1").alias("high"), F.expr(f"c div {TILE} + 1").alias("wide")), "s")
+    told = cut(told.join(lines, "k"))
     tile = lambda n: F.pmod(F.xxhash64("k"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    out = told.where("root != hub").select("s", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("root").alias("ra"), tile("high").alias("i"), every("wide").alias("j"))
-    met = told.select("s", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("hub")).alias("inner"),
-                      tile("wide").alias("j"), every("high").alias("i"))
-    pairs = out.join(met, ["s", "i", "j"]).where("ra != rb AND (inner OR ka < kb) AND 4 * na >= 3 * nb AND 4 * nb >= 3 * na")
-    must = F.ceil((3 * (F.col("na") + F.col("nb"))) / 7) - F.ceil(3 * F.greatest("na", "nb") / 4) + 1
-    return pairs.groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), F.first(must).alias("must")).where("c >= must").select("a", "b")
+    row = ("k", "n", "root", (F.col("root") == F.col("hub")).alias("inner"), "entered")
+    out = told.where("root != hub").select("s", tile("high").alias("i"), every("wide").alias("j"), F.lit(False).alias("met"), *row)
+    met = told.select("s", every("high").alias("i"), tile("wide").alias("j"), F.lit(True).alias("met"), *row)
+    cells = out.union(met).repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "met")
+    return cells.mapInArrow(_meetings, "a long, b long")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs in cells, from rows sorted by cell and then side; a cell may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not len(batch):
+                continue
+            held.append(batch)
+            s, i, j = (batch.column(c).to_numpy() for c in "sij")
+            edge = np.flatnonzero((np.diff(s) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))
+            if not len(edge) and len(held) > 1 and all(held[-2].column(c)[-1] == batch.column(c)[0] for c in "sij"):
+                continue
+            # The last cell may go on.
+            last = int(edge[-1]) + 1 if len(edge) else 0
+            rows = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+            held = [batch.slice(last)]
+        elif held:
+            rows, held = pa.Table.from_batches(held), []
+        else:
+            return
+        if rows.num_rows:
+            yield from _met(rows.combine_chunks())
+
+
+def _met(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs in some whole cells."""
+    s, i, j, k, n, root = (rows.column(c).to_numpy() for c in ("s", "i", "j", "k", "n", "root"))
+    met, inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("met", "inner"))
+    entered = rows.column("entered").combine_chunks()
+    size = entered.value_lengths().to_numpy().astype(np.int64)
+    values, code = np.unique(entered.flatten().to_numpy(), return_inverse=True)
+    start = np.cumsum(size) - size
+    have = np.repeat(np.arange(len(s)), size) * len(values) + code  # sorted: rows in order, each with its shingles in order
+    cell = np.cumsum(np.concatenate(([0], (np.diff(s) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))))
+    own = np.flatnonzero(~met)
+    low, high = np.searchsorted(cell * 2 + met, cell[own] * 2 + 1), np.searchsorted(cell * 2 + met, cell[own] * 2 + 1, "right")
+    own, low, wide = own[high > low], low[high > low], (high - low)[high > low]
+    ends = np.cumsum(wide)
+    at = 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - wide[at] + PAIRS, "right")))
+        w = wide[at:to]
+        x = np.repeat(own[at:to], w)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[at:to], w)
+        at = to
+        fits = (root[x] != root[y]) & (inner[y] | (k[x] < k[y])) & (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+        x, y = x[fits], y[fits]
+        for first in range(0, len(x), PAIRS // 16):
+            a, b = x[first:first + PAIRS // 16], y[first:first + PAIRS // 16]
+            begin = np.cumsum(size[a]) - size[a]
+            mine = code[np.arange(size[a].sum()) - np.repeat(begin - start[a], size[a])]
+            want = np.repeat(b, size[a]) * len(values) + mine
+            hit = have[np.minimum(np.searchsorted(have, want), len(have) - 1)] == want
+            common = np.add.reduceat(hit, begin, dtype=np.int64)
+            lowest = np.minimum.reduceat(np.where(hit, mine, len(values)), begin)
+            good = (common >= _must_meet(n[a], n[b])) & (values[np.minimum(lowest, len(values) - 1)] == s[a])
+            a, b = k[a[good]], k[b[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
